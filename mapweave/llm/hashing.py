@@ -23,7 +23,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    if len(_powers.get(base, ())) < n:
+    if base not in _powers or len(_powers[base]) < n:
         with np.errstate(over="ignore"):
             made = np.full(max(n, SLICE_BYTES), base, U)
             made[0] = 1

@@ -54,8 +54,9 @@ def encoder(path: str) -> tuple:
     """(encode to ids, id of the special token) for a byte-level BPE file; kept for the life of the worker."""
     if path not in _loaded:
         with open(path, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
-        special = vocabulary.get(SPECIAL)
+            read = json.load(f)
+        vocabulary = read["model"]["vocab"]
+        special = next((x["id"] for x in read["added_tokens"] if x["content"] == SPECIAL), None)
         of = _bytes_of_shown()
         ranks = {bytes(of[c] for c in token): i for token, i in vocabulary.items() if token != SPECIAL}
         _loaded[path] = (tiktoken.Encoding("byte_bpe", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, special)
