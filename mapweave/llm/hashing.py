@@ -49,8 +49,9 @@ def slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         a = b
 
 
-def word_hashes(data: np.ndarray, bounds: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words (runs of is_word within a row, A-Z lower-cased), and the rows' bounds among them."""
+def word_hashes(data: np.ndarray, bounds: np.ndarray, is_word: np.ndarray, prefix: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words (runs of is_word within a row, A-Z lower-cased), and the rows' bounds among them. With
+    ``prefix``, each word is followed by the hash of its first so many bytes (another hash than that of a word)."""
     n = len(data)
     lowered = data + ((data >= 65) & (data <= 90)) * np.uint8(32)
     word = is_word[data]
@@ -63,9 +64,12 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray, is_word: np.ndarray) -> tu
     with np.errstate(over="ignore"):
         total = np.zeros(n + 1, U)
         np.cumsum((lowered.astype(U) + U(1)) * powers(PRIME, n), out=total[1:])
-        h = (total[last + 1] - total[first]) * powers(INVERSE, n)[first] if n else np.zeros(0, U)
-        h = mix(h ^ ((last - first + 1).astype(U) * U(0xD6E8FEB86659FD93)))
-    return h, np.searchsorted(first, bounds)
+        start = powers(INVERSE, n)[first] if n else np.zeros(0, U)
+        h = mix((total[last + 1] - total[first]) * start ^ ((last - first + 1).astype(U) * U(0xD6E8FEB86659FD93)))
+        if prefix:
+            short = mix((total[np.minimum(last + 1, first + prefix)] - total[first]) * start ^ U(0xA0761D6478BD642F))
+            h = np.stack([h, short], 1).ravel()
+    return h, np.searchsorted(first, bounds) * (2 if prefix else 1)
 
 
 def space_separated() -> np.ndarray:

@@ -37,10 +37,10 @@ def start_net(seed: int = 11) -> Net:
 
 
 def layout(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Padded bytes (each text from a multiple of STRIDE on, WIDTH bytes of padding at the end), chunks' first and end
+    """Padded bytes (each text from a multiple of STRIDE on, WIDTH bytes of padding at its end), chunks' first and end
     positions, and the first chunk of each text."""
     sizes = [-(-len(t) // STRIDE) * STRIDE + WIDTH for t in texts]
-    data = np.zeros(sum(sizes), np.uint8)
+    data = np.zeros(sum(sizes) + STRIDE, np.uint8)
     starts, ends, first, at = [], [], [], 0
     for t, size in zip(texts, sizes, strict=True):
         data[at : at + len(t)] = np.frombuffer(t, np.uint8)

@@ -1,6 +1,6 @@
 """Toxicity: a factorization machine over hashed terms.
 
-A text is the set of its words, hashed to 2^18 terms. The machine has a weight for each term and, by the inner product of
+A text is the set of its words and of their first five bytes, hashed to 2^18 terms. The machine has a weight for each term and, by the inner product of
 factors, one for each pair of terms of the text (an insult beside a group's name). It is fitted by AdaGrad in numpy on a
 bounded sample of labelled rows (``rows``), and applied to whole texts in Arrow batches; the model is a broadcast of fixed
 size. Terms of fewer than ``least`` sample texts have no weight.
@@ -23,6 +23,7 @@ from .hashing import U, alphanumeric, slices, word_hashes
 from .training import labelled_sample
 
 BITS = 18
+PREFIX = 5
 
 
 class Machine(NamedTuple):
@@ -36,7 +37,7 @@ def term_sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, distinct terms of the rows one after another, bounds of the rows in them) for runs of rows."""
     ok = alphanumeric()
     for a, b, data, bounds in slices(column):
-        h, at = word_hashes(data, bounds, ok)
+        h, at = word_hashes(data, bounds, ok, PREFIX)
         row = np.repeat(np.arange(b - a, dtype=np.int64), np.diff(at))
         key = np.unique((row << BITS) | (h >> U(64 - BITS)).astype(np.int64))
         yield a, key & ((1 << BITS) - 1), np.searchsorted(key >> BITS, np.arange(b - a + 1))
@@ -55,10 +56,13 @@ def logits(m: Machine, terms: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return m.bias + _sums(m.w[at], bounds) + 0.5 * ((s * s).sum(1) - _sums((v * v).sum(1), bounds))
 
 
-def fit(sets: list[np.ndarray], y: np.ndarray, factors: int = 8, epochs: int = 12, least: int = 4, rate: float = 0.1, decay: float = 3e-5) -> Machine:
+def fit(sets: list[np.ndarray], y: np.ndarray, factors: int = 8, epochs: int = 12, least: int = 4, apart: float = 10.8, rate: float = 0.1, decay: float = 1e-5) -> Machine:
     """AdaGrad on the logistic loss, in mini-batches."""
-    seen = np.bincount(np.concatenate([*sets, np.zeros(0, np.int64)]), minlength=1 << BITS)
-    known = np.flatnonzero(seen >= least)
+    count = lambda some: np.bincount(np.concatenate([*some, np.zeros(0, np.int64)]), minlength=1 << BITS).astype(float)
+    seen, toxic = count(sets), count([x for x, one in zip(sets, y, strict=True) if one])
+    all_, ones = len(y), float(np.sum(y))
+    differ = np.maximum(np.abs(toxic * all_ - seen * ones) - all_ / 2, 0) ** 2 * all_
+    known = np.flatnonzero((seen >= least) & (differ > apart * seen * (all_ - seen) * ones * (all_ - ones)))
     place = np.full(1 << BITS, len(known), np.int32)
     place[known] = np.arange(len(known))
     random = np.random.default_rng(7)
@@ -80,7 +84,7 @@ def fit(sets: list[np.ndarray], y: np.ndarray, factors: int = 8, epochs: int = 1
             z = bias + _sums(w[at], bounds) + 0.5 * ((s * s).sum(1) - _sums((va * va).sum(1), bounds))
             d = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[pick]
             each = np.repeat(d, n)
-            dw, dv = np.bincount(at, each, len(w)), np.zeros(v.shape)
+            dw, dv = np.bincount(at, each, len(w)).astype(float), np.zeros(v.shape)
             np.add.at(dv, at, each[:, None] * (np.repeat(s, n, axis=0) - va))
             here = np.unique(at)
             dw[here] += decay * len(pick) * w[here]
@@ -102,7 +106,7 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, len(lists)), lists, batch.column(2).slice(a, len(lists))], names=["y", "terms", "of"])
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = 6000) -> Machine:
+def train(docs: DataFrame, labels: DataFrame, rows: int = 20_000) -> Machine:
     """Fitted on at most ``rows`` labelled documents; their term ids, not their texts, come to the driver."""
     sample = labelled_sample(docs, labels, "toxic", rows).select("text", "y", "doc_id")
     got = sample.mapInArrow(_terms, "y int, terms array<int>, of long").toArrow().sort_by([("of", "ascending"), ("y", "ascending")])
