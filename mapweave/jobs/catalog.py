@@ -94,7 +94,7 @@ def a1(spark, sf):
 @query("st2_dynamic_batches")
 def st2(spark, sf):
     f = fx.frames(spark, sf)
-    return retrieval.dynamic_batches(f, retrieval.causal_knn(f, 24), k=20, dominant=20, ratio_min=0.1, similarity_min=0.25)
+    return retrieval.dynamic_batches(f.where("order_index >= 30"), retrieval.causal_knn(f, 24), k=20, dominant=20, ratio_min=0.1, similarity_min=0.25)
 
 
 @query("st1_bootstrap", "SELECT vec_id AS order_index, label FROM embeddings WHERE vec_id < 30")

@@ -26,7 +26,7 @@ def test_nearest_of_two(spark):
 
 def test_batches_close_for_three_reasons(spark):
     got = catalog.QUERIES["st2_dynamic_batches"](spark, "/root/testdata/sf0.01").collect()
-    assert len(got) == 500 and {r.closed_by for r in got} == {"", "reached_max_batch_size", "next_frame_incompatible", "end_of_sequence"}
+    assert len(got) == 470 and {r.closed_by for r in got} == {"", "reached_max_batch_size", "next_frame_incompatible", "end_of_sequence"}
     sizes = [0] * 6
     for b in {r.batch_id for r in got}:
         sizes[sum(r.batch_id == b for r in got)] += 1
