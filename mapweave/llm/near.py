@@ -5,10 +5,14 @@ are kept: 128 signature values for 64 hash evaluations a shingle. They form 32 b
 permutations; a pair of similarity 0.8 shares no band with probability 5e-8.
 
 Equal sets collapse first. In each bucket of a band every member is compared, on full sets, with one leader: the member
-with the most bucket mates, as a rule the original of a group of edited copies. Jaccard distance is a metric, so a member
-beyond the threshold can only link to bucket members whose distance to the leader differs from its own by at most the
-threshold; those pairs are compared too. No other pair of the bucket with a member outside can be a link, and members
-within the threshold are joined through the leader. So components are exact for all pairs that share a bucket.
+with the most bucket mates, as a rule the original of a group of edited copies. Members within the threshold are linked
+to it. That leaves pairs with a member z beyond the threshold, in groups of one leader L. Let E be a member's symmetric
+difference with L. The difference of z and y is that of E(z) and E(y), so a link bounds it by
+(100 - p) / (100 + p) * (|z| + |y|), while E(z) exceeds the same share of |z| + |L|. Hence E(z) and E(y) overlap in more
+than half of E(y), up to a term in |L| - |y|, and a prefix filter applies: in one order of elements (those foreign to L
+first) a prefix of about half of each E must meet, and what remains after the first meeting must still hold the overlap.
+Only pairs that pass, and are not joined already, are compared on full sets. Independent edits of one original rarely
+meet, so the pairs stay few where a bucket's pairs would grow with the square of a group. No link within a bucket is lost.
 
 Defined results: texts without words have no shingles and link to nothing; texts shorter than a shingle are one shingle;
 rows without an id are never linked and stay; rows sharing an id are one node with several texts; extra columns are ignored.
@@ -106,6 +110,35 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return d.select("a", "b", "both", (F.col("sum") - F.col("both")).alias("either"))
 
 
+def _ring(star: DataFrame, sets: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) of members of one leader's group with an open member, by the prefix filter on differences.
+
+    All bounds are in whole numbers: with p = percent, a link of z and y has
+    2 (100 + p) |E(z) & E(y)| >= (100 + p) (e(z) + e(y)) - (100 - p) (|z| + |y|)."""
+    up, down = 100 + percent, 100 - percent
+    some = star.groupBy("b").agg(F.count("*").alias("n"), F.count_if("open").alias("o")).where("n > 1 and o > 0").select("b")
+    label = joined.select(F.col("node").alias("a"), "component")
+    d = star.join(some, "b", "left_semi").join(label, "a", "left").select("a", "b", "open", F.coalesce("component", "a").alias("component"))
+    left, right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
+    foreign, missing = F.array_sort(F.array_except("x", "y")), F.array_sort(F.array_except("y", "x"))
+    d = d.join(left, "a").join(right, "b").select("a", "b", "open", "component", F.size("x").cast("long").alias("n"), F.size("y").cast("long").alias("nl"), F.concat(foreign, missing).alias("d"))
+    d = d.withColumn("e", F.size("d").cast("long"))
+    # As z: an overlap of at least (e - down / up * |z| (1 + 100 / p)) / 2; as y: of more than (e + down / up * (|L| - |y|)) / 2.
+    as_z = F.when(F.col("open"), F.col("e") - F.greatest(F.lit(1), F.expr(f"((e * {up} * {percent} - {down} * n * {100 + percent}) div ({2 * up * percent}))")) + 1).otherwise(0)
+    as_y = F.col("e") - F.greatest(F.lit(0), F.expr(f"(e * {up} + {down} * (nl - n)) div {2 * up}"))
+    d = d.withColumn("pz", as_z.cast("int")).withColumn("py", as_y.cast("int"))
+    d = d.select("a", "b", "open", "component", "n", "e", "pz", "py", F.posexplode(F.slice("d", 1, F.least(F.col("e").cast("int"), F.greatest("pz", "py")))).alias("i", "element"))
+    d = written(d, "differences")
+    z = d.where("i < pz").select("element", F.col("b").alias("l"), *(F.col(c).alias(f"z_{c}") for c in ("a", "component", "n", "e", "i")))
+    y = d.where("i < py").select("element", F.col("b").alias("l"), *(F.col(c).alias(f"y_{c}") for c in ("a", "open", "component", "n", "e", "i")))
+    rest = F.least(F.col("z_e") - F.col("z_i"), F.col("y_e") - F.col("y_i"))
+    fits = 2 * up * rest >= up * (F.col("z_e") + F.col("y_e")) - down * (F.col("z_n") + F.col("y_n"))
+    sizes = F.least("z_n", "y_n") * 100 >= F.greatest("z_n", "y_n") * percent
+    once = (F.col("z_a") != F.col("y_a")) & (~F.col("y_open") | (F.col("y_a") < F.col("z_a"))) & (F.col("z_component") != F.col("y_component"))
+    met = z.join(y, (z["element"] == y["element"]) & (z["l"] == y["l"]) & once & sizes & fits)
+    return met.select(F.col("z_a").alias("a"), F.col("y_a").alias("b")).distinct()
+
+
 def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: id, text_hash, n_shingles, component_id (smallest id reachable over links of ``percent`` or more
     Jaccard similarity; null without an id), kept."""
@@ -130,22 +163,12 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: st
     star = written(_compared(star, sets), "star")
     near = F.col("both") * 100 >= F.col("either") * percent
 
-    # Members beyond the threshold, against those of their buckets whose distance to the leader is close enough to theirs.
-    bound = 1 - percent / 100 + 1e-9
-    distance = 1 - F.col("both") / F.col("either")
-    led = mates.select("k", "rep").join(lead, "k")
-    at = written(star.select(F.col("a").alias("rep"), F.col("b").alias("leader"), distance.alias("d")), "distances")
-    open_ = led.join(at.where(F.col("d") > bound - 2e-9), ["rep", "leader"]).select("k", F.col("rep").alias("a"), F.col("d").alias("da"))
-    open_ = written(open_, "open")
-    inside = led.join(open_.select("k").distinct(), "k", "left_semi").join(at, ["rep", "leader"]).select("k", F.col("rep").alias("b"), F.col("d").alias("db"))
-    inside = written(inside, "inside")
-    ring = open_.join(inside, "k").where((F.col("a") != F.col("b")) & (F.abs(F.col("da") - F.col("db")) <= bound) & ((F.col("db") <= bound - 2e-9) | (F.col("b") < F.col("a"))))
-    ring = written(ring.select("a", "b").distinct(), "ring")
-    ring = _compared(ring, sets)
+    joined = components(star.where(near).select("a", "b"))
+    ring = _compared(written(_ring(star.withColumn("open", ~near), sets, joined, percent), "ring"), sets)
 
     links = star.where(near).select("a", "b").union(ring.where(near).select("a", "b")).union(member.where("id <> rep").select("id", "rep"))
     found = components(links)
-    discard(many, mates, lead, able, sets, at, open_, inside)
+    discard(many, mates, lead, able, sets)
     out = sig.join(found, sig["id"] == found["node"], "left")
     component = F.coalesce("component", "id")
     return out.select("id", "text_hash", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
