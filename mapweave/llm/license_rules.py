@@ -150,5 +150,7 @@ def rules() -> list[Rule]:
 
 
 def anchors() -> list[str]:
-    """A few literals, at least one of which is in every match of any rule. Short ones ("cc") stand for a word."""
-    return sorted({"licen" if "licen" in r.pattern.replace("\\", "") else r.keyword for r in rules()})
+    """A few rare literals, at least one of which is in every match of any rule; every rule of keyword "cc" begins "cc by"."""
+    rare = ("licen", "reserved", "attribution", "clause", "domain", "cc0")
+    literal = lambda r: r.pattern.replace("\\", "")
+    return sorted({next((x for x in rare if x in literal(r)), r.keyword) for r in rules()})

@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, fingerprint, words
-from .license_rules import EDGE, WORTH, anchors, rules
+from .license_rules import GAP, WORTH, anchors, rules
 
 
 def detections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -31,7 +31,7 @@ def detections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     t = F.col("t")
     gate = F.lit(False)
     for a in anchors():
-        gate = gate | ((F.contains(t, F.lit(a)) & F.rlike(t, F.lit(f"(?<!{EDGE}){a}(?!{EDGE})"))) if len(a) < 4 else F.contains(t, F.lit(a)))
+        gate = gate | (F.rlike(t, F.lit(f"cc{GAP}by")) if a == "cc" else F.contains(t, F.lit(a)))
     text = F.coalesce(F.col(text_col), F.lit(""))
     d = docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col)).alias("text_hash"), ascii_lower(text).alias("t")).where(gate)
     d = d.select("id", "text_hash", "t", F.explode(F.flatten(F.transform(F.filter(table, lambda x: F.contains(t, x["k"])), lambda x: x["rs"]))).alias("r"))
