@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What separates the words ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` of a lower-cased text, and those words in a text as written.
 WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+RAW_WORD_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 #: Rows up to which a table of keys (some dozens of bytes a row) is broadcast; beyond, it is shuffled.

@@ -10,30 +10,32 @@ told apart by a hash of the text; overlaps that are not containments keep both m
 
 from __future__ import annotations
 
+import json
 import math
+import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, fingerprint, words
+from .common import RAW_WORD_GAP, ascii_lower, fingerprint, words
 from .license_rules import GAP, WORTH, anchors, rules
 
+TABLE = "array<struct<k string, rs array<struct<rule int, label string, level int, keyword string, pattern string, base_words int>>>>"
+
 
 def detections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every match: id, text_hash, rule, label, level, start, stop (characters), kept; base phrases have also n_base of the
     rule in the text, first_word and last_word of it."""
     by_key: dict[str, list] = {}
     for r in rules():
-        by_key.setdefault(r.keyword, []).append(r)
-    row = lambda r: F.struct(F.lit(r.rule).alias("rule"), F.lit(r.label).alias("label"), F.lit(r.level).alias("level"), F.lit(r.pattern).alias("pattern"), F.lit(r.base_words).alias("base_words"))
-    table = F.array(*(F.struct(F.lit(k).alias("k"), F.array(*map(row, rs)).alias("rs")) for k, rs in by_key.items()))
-    t = F.col("t")
-    gate = F.lit(False)
-    for a in anchors():
-        gate = gate | (F.rlike(t, F.lit(f"cc{GAP}by")) if a == "cc" else F.contains(t, F.lit(a)))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    d = docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col)).alias("text_hash"), ascii_lower(text).alias("t")).where(gate)
+        by_key.setdefault(r.keyword, []).append(r._asdict())
+    # One literal, which the optimiser parses once; hundreds of small literals would take seconds to build.
+    table = F.from_json(F.lit(json.dumps([{"k": k, "rs": rs} for k, rs in by_key.items()])), TABLE)
+    # The gate reads texts as written: one pass, and only texts that pass are lower-cased (once: exploding keeps t a column).
+    gate = "(?i)" + "|".join(f"cc{GAP}by" if a == "cc" else re.escape(a) for a in anchors())
+    t, text = F.col("t"), F.coalesce(F.col(text_col), F.lit(""))
+    d = docs.where(F.rlike(text, F.lit(gate))).select(F.col(id_col).alias("id"), fingerprint(F.col(text_col)).alias("text_hash"), F.explode(F.array(ascii_lower(text))).alias("t"))
     d = d.select("id", "text_hash", "t", F.explode(F.flatten(F.transform(F.filter(table, lambda x: F.contains(t, x["k"])), lambda x: x["rs"]))).alias("r"))
     d = d.select("*", F.regexp_extract_all(t, F.col("r.pattern"), 0).alias("hits")).where(F.size("hits") > 0)
     d = d.withColumn("gaps", F.split(t, F.col("r.pattern"), -1))
@@ -57,7 +59,7 @@ def detections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: id, n_words, n_base, first_word, last_word, base_labels, labels (arrays), score."""
     text = F.col(text_col)
-    base = docs.select(F.col(id_col).alias("id"), fingerprint(text).alias("text_hash"), F.size(words(text)).cast("long").alias("n_words"))
+    base = docs.select(F.col(id_col).alias("id"), fingerprint(text).alias("text_hash"), F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), RAW_WORD_GAP, -1), "")).cast("long").alias("n_words"))
     found = detections(docs, id_col, text_col).distinct()  # repeated rows find the same
     one = F.col("nth") == 0
     score = 1 - F.exp(sum((F.count_if(F.col("kept") & (F.col("level") == k)) * math.log(1 - v) for k, v in WORTH.items()), F.lit(0.0)))
