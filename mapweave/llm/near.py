@@ -11,6 +11,9 @@ difference with L. The difference of z and y is that of E(z) and E(y), so a link
 (100 - p) / (100 + p) * (|z| + |y|), while E(z) exceeds the same share of |z| + |L|. Hence E(z) and E(y) overlap in more
 than half of E(y), up to a term in |L| - |y|, and a prefix filter applies: in one order of elements (those foreign to L
 first) a prefix of about half of each E must meet, and what remains after the first meeting must still hold the overlap.
+Each set also carries an odd sketch of 512 bits: every element flips the bit it hashes to. The bits in which two sketches
+differ are at most the elements in which the sets differ, so a pair whose sketches differ by more than a link allows goes
+without loss; short texts, whose edits meet by chance in the few elements of their leader, mostly fall here.
 Only pairs that pass, and are not joined already, are compared on full sets. Independent edits of one original rarely
 meet, so the pairs stay few where a bucket's pairs would grow with the square of a group. No link within a bucket is lost.
 
@@ -36,7 +39,9 @@ _random = np.random.default_rng(20240817)
 FACTOR = _random.integers(0, 2**64, PERMUTATIONS, dtype=U) | U(1)
 SHIFT = _random.integers(0, 2**64, PERMUTATIONS, dtype=U)
 SIGNATURE = "id long, text_hash long, n_shingles long, s1 long, s2 long, bands array<long>"
-SETS = "id long, shingles array<long>"
+#: Words of 64 bits of a set's odd sketch: every element flips one bit.
+ODD = [f"odd{i}" for i in range(8)]
+SETS = "id long, shingles array<long>, " + ", ".join(f"{c} long" for c in ODD)
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -96,9 +101,16 @@ def _sets(k: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, sets in shingle_sets(batch.column(1), k):
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.slice(a, len(sets)).column(0), lists], names=["id", "shingles"])
+                n, x = np.array([len(s) for s in sets]), np.concatenate(sets)
+                ends = np.concatenate([[0], np.cumsum(n)])
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(x.view(np.int64)))
+                odd = np.zeros((len(ODD), len(sets)), U)
+                if full := np.flatnonzero(n).tolist():
+                    h = mix(x ^ U(0x94D049BB133111EB))
+                    word, bit = h % U(len(ODD)), U(1) << (h >> U(58))
+                    for i in range(len(ODD)):
+                        odd[i, full] = np.bitwise_xor.reduceat(np.where(word == U(i), bit, U(0)), ends[full])
+                yield pa.RecordBatch.from_arrays([batch.slice(a, len(sets)).column(0), lists, *(pa.array(o.view(np.int64)) for o in odd)], names=["id", "shingles", *ODD])
 
     return of
 
@@ -119,23 +131,25 @@ def _ring(star: DataFrame, sets: DataFrame, joined: DataFrame, percent: int) ->
     some = star.groupBy("b").agg(F.count("*").alias("n"), F.count_if("open").alias("o")).where("n > 1 and o > 0").select("b")
     label = joined.select(F.col("node").alias("a"), "component")
     d = star.join(some, "b", "left_semi").join(label, "a", "left").select("a", "b", "open", F.coalesce("component", "a").alias("component"))
-    left, right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
+    left, right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"), *ODD), sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     foreign, missing = F.array_sort(F.array_except("x", "y")), F.array_sort(F.array_except("y", "x"))
-    d = d.join(left, "a").join(right, "b").select("a", "b", "open", "component", F.size("x").cast("long").alias("n"), F.size("y").cast("long").alias("nl"), F.concat(foreign, missing).alias("d"))
+    d = d.join(left, "a").join(right, "b").select("a", "b", "open", "component", F.size("x").cast("long").alias("n"), F.size("y").cast("long").alias("nl"), F.concat(foreign, missing).alias("d"), *ODD)
     d = d.withColumn("e", F.size("d").cast("long"))
     # As z: an overlap of at least (e - down / up * |z| (1 + 100 / p)) / 2; as y: of more than (e + down / up * (|L| - |y|)) / 2.
     as_z = F.when(F.col("open"), F.col("e") - F.greatest(F.lit(1), F.expr(f"((e * {up} * {percent} - {down} * n * {100 + percent}) div ({2 * up * percent}))")) + 1).otherwise(0)
     as_y = F.col("e") - F.greatest(F.lit(0), F.expr(f"(e * {up} + {down} * (nl - n)) div {2 * up}"))
     d = d.withColumn("pz", as_z.cast("int")).withColumn("py", as_y.cast("int"))
-    d = d.select("a", "b", "open", "component", "n", "e", "pz", "py", F.posexplode(F.slice("d", 1, F.least(F.col("e").cast("int"), F.greatest("pz", "py")))).alias("i", "element"))
+    d = d.select("a", "b", "open", "component", "n", "e", "pz", "py", *ODD, F.posexplode(F.slice("d", 1, F.least(F.col("e").cast("int"), F.greatest("pz", "py")))).alias("i", "element"))
     d = written(d, "differences")
-    z = d.where("i < pz").select("element", F.col("b").alias("l"), *(F.col(c).alias(f"z_{c}") for c in ("a", "component", "n", "e", "i")))
-    y = d.where("i < py").select("element", F.col("b").alias("l"), *(F.col(c).alias(f"y_{c}") for c in ("a", "open", "component", "n", "e", "i")))
+    z = d.where("i < pz").select("element", F.col("b").alias("l"), *(F.col(c).alias(f"z_{c}") for c in ("a", "component", "n", "e", "i", *ODD)))
+    y = d.where("i < py").select("element", F.col("b").alias("l"), *(F.col(c).alias(f"y_{c}") for c in ("a", "open", "component", "n", "e", "i", *ODD)))
     rest = F.least(F.col("z_e") - F.col("z_i"), F.col("y_e") - F.col("y_i"))
     fits = 2 * up * rest >= up * (F.col("z_e") + F.col("y_e")) - down * (F.col("z_n") + F.col("y_n"))
     sizes = F.least("z_n", "y_n") * 100 >= F.greatest("z_n", "y_n") * percent
     once = (F.col("z_a") != F.col("y_a")) & (~F.col("y_open") | (F.col("y_a") < F.col("z_a"))) & (F.col("z_component") != F.col("y_component"))
-    met = z.join(y, (z["element"] == y["element"]) & (z["l"] == y["l"]) & once & sizes & fits)
+    apart = sum((F.bit_count(F.col(f"z_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in ODD), F.lit(0))
+    close = up * apart <= down * (F.col("z_n") + F.col("y_n"))
+    met = z.join(y, (z["element"] == y["element"]) & (z["l"] == y["l"]) & once & sizes & fits & close)
     return met.select(F.col("z_a").alias("a"), F.col("y_a").alias("b")).distinct()
 
 
