@@ -9,6 +9,7 @@ from collections import defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -172,6 +173,19 @@ def test_near(spark, docs, real, none):
     assert near.near_groups(none).count() == 0
 
 
+def test_odd_sketches_bound_the_difference_of_sets():
+    r = np.random.default_rng(5)
+    base = [f"w{i}" for i in r.integers(0, 50, 300)]
+    texts = ["", None, "one", *(" ".join(w if r.random() > p else "x" for w in base[:n]) for p in (0, 0.01, 0.1, 0.5) for n in (3, 12, 60, 300))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["id", "t"])
+    rows = [x for b in near._sets(5)(iter([batch])) for x in b.to_pylist()]
+    assert [x["id"] for x in rows] == list(range(len(texts)))
+    for x in rows:
+        for y in rows:
+            apart, bits = len(set(x["shingles"]) ^ set(y["shingles"])), sum(((x[c] ^ y[c]) & (2**64 - 1)).bit_count() for c in near.ODD)
+            assert bits <= apart and (apart - bits) % 2 == 0 and (bits > 0 or apart != 1)
+
+
 def test_shards(docs, real, none):
     for d in both(docs, real):
         got = sharding.assign_shards(d, 16).collect()
