@@ -287,3 +287,13 @@ def w7(spark, sf):
 @query("t5_slowest", f"WITH {LOGS} SELECT batch_id, status, total_time_sec FROM l ORDER BY total_time_sec DESC, batch_id LIMIT 10")
 def t5(spark, sf):
     return reporting.slowest(fx.logs(spark, sf))
+
+
+@query("j9_neighbour_overlap", f"WITH {KNN}, o AS (SELECT query_id, list(ref_id) AS refs FROM k GROUP BY query_id) SELECT b.query_id, CAST(len(list_intersect(a.refs, b.refs)) AS BIGINT) AS shared FROM o a JOIN o b ON b.query_id = a.query_id + 1")
+def j9(spark, sf):
+    return retrieval.neighbour_overlap(retrieval.causal_knn(fx.frames(spark, sf)))
+
+
+@query("a26_scene_extent", f"WITH {POINTS} SELECT count(*) AS n, {', '.join(f'round(avg({c}), 6) AS centre_{c}' for c in 'xyz')}, {', '.join(f'round(max({c}) - min({c}), 6) AS extent_{c}' for c in 'xyz')} FROM p")
+def a26(spark, sf):
+    return points.scene_extent(fx.points(spark, sf))

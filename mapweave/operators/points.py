@@ -84,3 +84,9 @@ def spacing(points: DataFrame) -> DataFrame:
         dist = F.sqrt(sum(((step(c) - F.col(c)) ** 2 for c in ("x", "y", "z")), F.lit(0.0)))
         found.append(points.select("frame_no", F.when(step(along) == F.col(along) + 1, dist).alias("distance")))
     return found[0].union(found[1]).where(finite(F.col("distance")) & (F.col("distance") > 0))
+
+
+def scene_extent(points: DataFrame) -> DataFrame:
+    """One row: the centre of the finite points and their extent on each axis; nulls without any."""
+    d = points.where(finite(*(F.col(c) for c in "xyz")))
+    return d.agg(F.count("*").alias("n"), *(F.round(F.avg(c), 6).alias(f"centre_{c}") for c in "xyz"), *(F.round(F.max(c) - F.min(c), 6).alias(f"extent_{c}") for c in "xyz"))

@@ -100,3 +100,8 @@ def bootstrap(frames: DataFrame, size: int = 30) -> DataFrame:
     return first.join(F.broadcast(short), F.col("e").isNull()).drop("e")
 
 
+def neighbour_overlap(found: DataFrame) -> DataFrame:
+    """Shared references of each query of a search (query_id, ref_id; at most k a query) and the query before it."""
+    sets = found.groupBy("query_id").agg(F.collect_set("ref_id").alias("refs"))
+    before = sets.select((F.col("query_id") + 1).alias("query_id"), F.col("refs").alias("before"))
+    return sets.join(before, "query_id").select("query_id", F.size(F.array_intersect("refs", "before")).cast("long").alias("shared"))
