@@ -299,3 +299,15 @@ def test_classifiers_awkward(spark, docs, none):
     whole = ("a b c " * 3000).encode()
     data, starts, ends, first = quality.layout([whole, b"", b"x"])
     assert ends[first[1] - 1] * quality.STRIDE >= len(whole) and all(a <= b for a, b in zip(starts[1 : first[1]], ends, strict=False))
+
+
+def test_toxicity_learns_pairs_of_terms_that_say_nothing_alone():
+    def sample(n, seed):
+        random = np.random.default_rng(seed)
+        sets = [np.concatenate([random.choice(300, 12, replace=False), np.array([1000] * (i % 4 in (1, 3)) + [2000] * (i % 4 >= 2), int)]) for i in range(n)]
+        return sets, np.array([float(i % 4 in (0, 3)) for i in range(n)])  # each term is as common in either class
+
+    machine = toxicity.fit(*sample(2000, 1))
+    sets, y = sample(800, 2)
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    assert np.mean((toxicity.logits(machine, np.concatenate(sets), bounds) >= 0) == (y > 0)) > 0.95
