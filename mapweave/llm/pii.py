@@ -33,8 +33,9 @@ SSN = (898, 99 * 9999)
 
 #: Kinds in the order in which their patterns are tried at a place.
 PATTERNS = {
+    "assigned": r"(?<=password=|token = \"|api_key=|secret=)[^\s\"']{6,}",
     "email": r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
-    "secret": r"(?:AKIA|ASIA)[A-Z0-9]{16}|(?:gh[pousr]_|sk-)[A-Za-z0-9]{20,255}|(?<=password=)[^\s\"']{6,256}|(?<=token = \")[^\s\"']{6,256}|(?<=api_key=)[^\s\"']{6,256}|(?<=secret=)[^\s\"']{6,256}",
+    "secret": r"(?:AKIA|ASIA)[A-Z0-9]{16}|(?:gh[pousr]_|sk-)[A-Za-z0-9]{20,}",
     "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.]?\d)",
     "date": r"(?<!\d|\d-)(?:1[89]|2[01])\d{2}-\d{2}-\d{2}(?!-?\d)|(?<!\d|\d/)\d{2}/\d{2}/(?:1[89]|2[01])\d{2}(?!/?\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
@@ -42,6 +43,9 @@ PATTERNS = {
     "phone": r"(?<!\d)(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\d.])(?:\+\d{1,3}[ .-]?)?\d{3}[ .-]\d{3}[ .-]\d{4}(?!\d)|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)",
 }
 
+#: What every match of PATTERNS holds, with what is before it: an @, an assignment or the start of a key, or two digits.
+GATE = r"@|password=|token = \"|api_key=|secret=|AKIA|ASIA|gh[pousr]_|sk-|\d[ .-]?\d"
+
 
 def keyed(key: str, kind: str, *parts: Column) -> Column:
     """A pseudo-random number below 2^60 from the key, the kind and the parts."""
@@ -140,34 +144,32 @@ def _hashed(v: Column, key: str, kind: str) -> Column:
     return F.array_join(F.transform(chars, new), "")
 
 
-def pseudonym(v: Column, key: str) -> Column:
-    """Struct (kind, value) of one match; kind is null, and the value as it was, if it does not validate."""
-    full = lambda kind: v.rlike(f"^(?:{PATTERNS[kind].replace('(?<=password=)', '').replace('(?<=api_key=)', '').replace('(?<=secret=)', '')})$")
+def pseudonym(v: Column, matched: Column, key: str) -> Column:
+    """Struct (kind, value) of a match of the pattern ``matched``; kind is null, and the value as it was, if it does not validate."""
     local = F.substring_index(v, "@", 1)
     made = {
         "email": F.concat(_hashed(local, key, "email"), F.substr(v, F.char_length(local) + 1)), "ip": _ip(v, key), "date": _date(v, key),
         "ssn": _ssn(v, key), "card": _card(v, key), "phone": _phone(v, key),
     }
-    kind = F.when(v.contains("@"), F.lit("email"))
-    for k in ("ip", "date", "ssn", "card", "phone"):
-        kind = kind.when(full(k), F.lit(k))
-    kind = kind.otherwise(F.lit("secret"))
-    value = F.when(kind == "email", made["email"])
-    for k in ("ip", "date", "ssn", "card", "phone"):
-        value = value.when(kind == k, made[k])
-    value = value.otherwise(_hashed(v, key, "secret"))
+    kind = F.when(matched.isin("assigned", "secret"), F.lit("secret")).otherwise(matched)
+    value = F.when(kind == "secret", _hashed(v, key, "secret"))
+    for k, new in made.items():
+        value = value.when(kind == k, new)
     return F.struct(F.when(value.isNotNull(), kind).alias("kind"), F.coalesce(value, v).alias("value"))
 
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", into: str | None = None, kinds: str = "pii_kinds") -> DataFrame:
     """``docs`` with pseudonyms in ``into`` (default: the text column) and the kinds replaced, in order, in ``kinds``."""
-    pattern = "|".join(f"(?:{p})" for p in PATTERNS.values())
+    pattern = "|".join(f"({p})" for p in PATTERNS.values())
     t = F.col(text_col)
-    # Cheap first: every value holds an @, a digit or "password=" and the like, so texts without these are not searched.
-    maybe = F.contains(t, F.lit("@")) | t.rlike(r"\d{2}|AKIA|ASIA|[=_]\w{6}|sk-")
-    out = docs.withColumn("__hits", F.when(maybe, F.regexp_extract_all(t, F.lit(pattern), 0)))
-    out = out.withColumn("__new", F.when(F.size("__hits") > 0, F.transform("__hits", lambda v: pseudonym(v, key))))
+    # Cheap first: texts without what every match holds are not searched.
+    out = docs.withColumn("__hits", F.when(t.rlike(GATE), F.regexp_extract_all(t, F.lit(pattern), 0)))
+    of = [F.regexp_extract_all(t, F.lit(pattern), i + 1) for i in range(len(PATTERNS))]
+    out = out.withColumn("__by", F.when(F.size("__hits") > 0, F.array(*of)))
+    matched = lambda i: F.coalesce(*(F.when(F.get(F.get("__by", F.lit(j)), i) != "", F.lit(k)) for j, k in enumerate(PATTERNS)))
+    out = out.withColumn("__kinds", F.transform("__hits", lambda v, i: matched(i)))
+    out = out.withColumn("__new", F.when(F.size("__hits") > 0, F.transform(F.arrays_zip("__hits", "__kinds"), lambda x: pseudonym(x["__hits"], x["__kinds"], key))))
     gaps = F.split(t, pattern, -1)
     text = F.array_join(F.flatten(F.transform(gaps, lambda g, i: F.array(g, F.coalesce(F.get("__new", i)["value"], F.lit(""))))), "")
     found = F.coalesce(F.filter(F.transform("__new", lambda x: x["kind"]), lambda k: k.isNotNull()), F.array().cast("array<string>"))
-    return out.withColumn(kinds, found).withColumn(into or text_col, F.when(F.size("__hits") > 0, text).otherwise(t)).drop("__hits", "__new")
+    return out.withColumn(kinds, found).withColumn(into or text_col, F.when(F.size("__hits") > 0, text).otherwise(t)).drop("__hits", "__by", "__kinds", "__new")

@@ -311,3 +311,15 @@ def test_toxicity_learns_pairs_of_terms_that_say_nothing_alone():
     sets, y = sample(800, 2)
     bounds = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
     assert np.mean((toxicity.logits(machine, np.concatenate(sets), bounds) >= 0) == (y > 0)) > 0.95
+
+
+def test_pii_gate_and_kinds(spark):
+    values = ["8.8.8.8", "password=my-secret-pass", 'token = "abcdefghij"', "password=P@ssw0rd!", "password=P@ss.w0rd!x", "api_key=4539148803436460", "secret=" + "aB3" * 200, "mail a@b.org"]
+    rows = [(i, p, p + v) for i, v in enumerate(values) for p in ("", "see 42: ")]
+    got = {(r.i, r.p): r for r in pii.pseudonymise(spark.createDataFrame(rows, "i int, p string, text string"), "k").collect()}
+    for i, v in enumerate(values):
+        bare, gated = got[i, ""], got[i, "see 42: "]
+        assert gated.text == "see 42: " + bare.text and gated.pii_kinds == bare.pii_kinds and (i == 0 or len(bare.text) == len(v))
+        assert bare.pii_kinds == ["ip" if i == 0 else "email" if i == 7 else "secret"]
+    assert "ssw0rd!" not in got[3, ""].text and not got[4, ""].text.endswith("w0rd!x") and got[6, ""].text[-6:] != values[6][-6:]
+    assert got[5, ""].text != values[5]
