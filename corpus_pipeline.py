@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mapweave.llm import decontaminate, lines, near, packing, toxicity
-from mapweave.llm.common import fingerprint, written
+from mapweave.llm.common import discard, fingerprint, temporary_tables, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,15 +40,17 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("line_dedup", dedup_lines), ("near_dedup", dedup_near), ("decontamination", drop_benchmark), ("packing", pack)]
 
-#: Toxicity is a trained model and packing needs a tokeniser, which SQL cannot express; tests hold the stages against brute force.
+#: Toxicity is a trained model and packing needs a tokeniser, which SQL cannot express; tests hold the chain against a plain version on a fixture.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result but the last is written and reread."""
-    out = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
-        out = stage(spark, out, sf_dir)
-        if i < len(STAGES) - 1:
-            out = written(out, f"stage-{name}")
-    return out
+    """All stages over ``documents``; each result but the last is written and reread, and deleted when the next is there."""
+    out, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES[:-1]:
+        with temporary_tables():
+            out = written(stage(spark, out, sf_dir), f"stage-{name}", keep=True)
+        if before is not None:
+            discard(before)
+        before = out
+    return STAGES[-1][1](spark, out, sf_dir)

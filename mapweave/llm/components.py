@@ -27,4 +27,6 @@ def components(links: DataFrame) -> DataFrame:
         labels._written_at = jumped._written_at
         if done:
             discard(both)
-            return labels.select("node", F.col("label").alias("component"))
+            found = labels.select("node", F.col("label").alias("component"))
+            found._written_at = jumped._written_at
+            return found

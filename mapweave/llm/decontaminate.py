@@ -1,8 +1,9 @@
 """Benchmark decontamination by a hash set of normalised test n-grams.
 
 The windows of the benchmark (``n`` consecutive words; an item of fewer words is one window) form a small table. It is
-broadcast when a count shows that it is small, else shuffled. Training texts emit one 64-bit probe a position, made from
-four of the window's words; a match is verified on all words of the window. Only verified hits are shuffled.
+broadcast when a count shows that it is small. Training texts emit one 64-bit probe a position, made from four of the
+window's words; a match is verified on all words of the window at once, and only hits are shuffled. A larger table of
+windows is joined by probe with keys alone, and its matches are verified where they meet their document again.
 
 Defined results: null or wordless texts have no windows and no hits; items without words match nothing; an item without
 an id contaminates but is not listed; rows repeated or sharing an id are told apart by a hash of the text; extra columns
@@ -14,7 +15,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, RAW_WORD, broadcast_if_small, fingerprint, words, written
+from .common import BROADCAST_ROWS, RAW_WORD, broadcast_if_small, fingerprint, spare, words, written
+
+
+#: Tasks among which a probe of the shuffled join is dealt.
+SALTS = 8
 
 
 def _probe(w: Column, at: Column, n: Column) -> Column:
@@ -42,15 +47,16 @@ def scan(
 ) -> DataFrame:
     """One row a document: id, text_hash, n_words, n_hit (words inside any hit window), n_items, items (sorted ids), spans
     (merged [from, to) word ranges)."""
-    windows, of = benchmark_windows(bench, n, item_id, item_text)
+    windows, of = benchmark_windows(bench, n, item_id, item_text)  # a few words for each position of the benchmark
     lengths = sorted(r.n for r in windows.select("n").distinct().collect()) or [n]  # at most n numbers
-    windows, of = (broadcast_if_small(t, broadcast_rows) for t in (windows, of))
+    small = windows.count() <= broadcast_rows
+    windows, of = F.broadcast(windows) if small else windows, broadcast_if_small(of, broadcast_rows)
     text = F.col(text_col)
     base = docs.select(F.col(id_col).alias("id"), fingerprint(text).alias("text_hash"), F.size(words(text)).cast("long").alias("n_words"))
 
     k = len(lengths)
-    d = docs.select(F.col(id_col).alias("id"), fingerprint(text).alias("text_hash"), words(text).alias("w")).where(F.size("w") > 0)
-    d = d.select("id", "text_hash", "w", F.explode(F.sequence(F.lit(0), F.size("w") * k - 1)).alias("i"))
+    texts = docs.select(F.col(id_col).alias("id"), fingerprint(text).alias("text_hash"), words(text).alias("w")).where(F.size("w") > 0)
+    d = texts.select("id", "text_hash", "w", F.explode(F.sequence(F.lit(0), F.size("w") * k - 1)).alias("i"))
     at = F.col("i") if k == 1 else F.floor(F.col("i") / k).cast("int")
     size = F.lit(lengths[0]) if k == 1 else F.element_at(F.lit(lengths), (F.col("i") % k + 1).cast("int"))
     d = d.select("id", "text_hash", "w", at.alias("at"), size.alias("size")).where(F.col("at") + F.col("size") <= F.size("w"))
@@ -58,7 +64,17 @@ def scan(
     here = F.array_join(F.slice("w", F.col("at") + 1, F.col("size")), " ")
     # As a range, so that the joined text stays a check of matches and does not become a join key made for every position.
     same = (F.col("window") >= here) & (F.col("window") <= here)
-    hits = d.join(windows, (F.col("p") == F.col("probe")) & same).select("id", "text_hash", "wid", "at", "size")
+    if small:
+        hits = d.join(windows, (F.col("p") == F.col("probe")) & same)
+    else:
+        # Only keys are shuffled for every position; the words of a document meet its candidates once. A probe that is very
+        # common in the texts is dealt over several tasks.
+        keys = d.select("id", "text_hash", "at", "size", "p", F.pmod(F.xxhash64("id", "at"), F.lit(SALTS)).alias("salt"))
+        salted = windows.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        met = keys.join(salted, (keys["p"] == salted["probe"]) & (keys["salt"] == salted["salt"])).select("id", "text_hash", "at", "size", "wid", "window")
+        texts = texts.select(F.col("id").alias("id_"), F.col("text_hash").alias("hash_"), "w").dropDuplicates(["id_", "hash_"])
+        hits = met.join(texts, F.col("id").eqNullSafe(F.col("id_")) & (F.col("text_hash") == F.col("hash_")) & same)
+    hits = hits.select("id", "text_hash", "wid", "at", "size")
 
     by_doc = hits.groupBy("id", "text_hash").agg(F.collect_set(F.struct("at", "size")).alias("s"), F.collect_set("wid").alias("wids"))
     last = lambda out: F.get(out, F.size(out) - 1)
@@ -88,12 +104,13 @@ def remove(docs: DataFrame, bench: DataFrame, what: str = "documents", id_col: s
     """``docs`` with its own columns, without contaminated documents (what="documents") or without the words of hit spans
     and the separators before them (what="spans")."""
     found = scan(docs, bench, id_col=id_col, text_col=text_col, **kw).where("n_hit > 0")
-    found = found.select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans")).dropDuplicates(["__id", "__hash"])
-    on = docs[id_col].eqNullSafe(F.col("__id")) & (fingerprint(docs[text_col]) == F.col("__hash"))
+    key, of, inside = spare(docs, "at_id", "at_hash", "inside")
+    found = found.select(F.col("id").alias(key), F.col("text_hash").alias(of), F.col("spans").alias(inside)).dropDuplicates([key, of])
+    on = docs[id_col].eqNullSafe(F.col(key)) & (fingerprint(docs[text_col]) == F.col(of))
     if what == "documents":
         return docs.join(found, on, "left_anti")
     t = F.col(text_col)
-    held = F.transform(F.regexp_extract_all(t, F.lit(RAW_WORD), 0), lambda w, i: F.when(F.exists("__spans", lambda s: (i >= s.a) & (i < s.b)), F.lit(None)).otherwise(w))
+    held = F.transform(F.regexp_extract_all(t, F.lit(RAW_WORD), 0), lambda w, i: F.when(F.exists(inside, lambda s: (i >= s.a) & (i < s.b)), F.lit(None)).otherwise(w))
     parts = F.zip_with(F.split(t, RAW_WORD, -1), held, lambda gap, w: F.when(w.isNotNull(), F.concat(gap, w)))
     cut = F.concat(F.array_join(parts, ""), F.element_at(F.split(t, RAW_WORD, -1), -1))
-    return docs.join(found, on, "left").withColumn(text_col, F.when(F.col("__spans").isNotNull(), cut).otherwise(t)).select(docs.columns)
+    return docs.join(found, on, "left").withColumn(text_col, F.when(F.col(inside).isNotNull(), cut).otherwise(t)).select(docs.columns)

@@ -1,8 +1,9 @@
 """Line deduplication with a deletion-neighbourhood join (edit bound 1).
 
-A line goes if an earlier line (by document id, text hash, line number) is the same, or, from ``fuzzy_chars`` characters
-on, within one inserted, deleted or substituted character. Lines are compared without white space at their ends; those
-under ``min_chars`` always stay.
+A line goes if an earlier line (by document id, text hash, line number) is the same or within one inserted, deleted or
+substituted character. Lines are compared without white space at their ends. All lines that are not blank are compared;
+``fuzzy_chars`` can ask for equality of lines shorter than that, and ``min_chars`` can keep the shortest, if one edit says
+too little about them.
 
 1. Equal lines: grouped by a 128-bit hash with a map-side minimum of places.
 2. Which lines can have a neighbour at all: of two lines within one edit, either the first half or the rest is equal, so
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, discard, fingerprint, written
+from .common import broadcast_if_small, discard, fingerprint, spare, written
 
 BLOCK = 64
 BLANK = " \t\r\x0b\x0c"
@@ -69,7 +70,7 @@ def _variants(t: DataFrame) -> DataFrame:
     return whole.unionByName(cut)
 
 
-def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 5, fuzzy_chars: int = 20) -> DataFrame:
+def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 1, fuzzy_chars: int = 1) -> DataFrame:
     """(id, text_hash, nth): the lines to drop."""
     lines = _lines(docs, id_col, text_col, min_chars)
     at = F.struct(F.col("id").isNotNull().alias("z"), *AT)
@@ -106,11 +107,11 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", numbers: str | None = None, **kw) -> DataFrame:
     """``docs`` without the dropped lines; ``numbers``: a column to add with the dropped line numbers (sorted)."""
-    drop = dropped_lines(docs, id_col, text_col, **kw).groupBy(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.array_sort(F.collect_set("nth")).alias("__drop"))
+    at, of, gone = spare(docs, "at_id", "at_hash", "gone")
+    drop = dropped_lines(docs, id_col, text_col, **kw).groupBy(F.col("id").alias(at), F.col("text_hash").alias(of)).agg(F.array_sort(F.collect_set("nth")).alias(gone))
     t = F.col(text_col)
-    out = docs.join(drop, docs[id_col].eqNullSafe(F.col("__id")) & (fingerprint(docs[text_col]) == F.col("__hash")), "left")
-    left = F.filter(F.split(t, "\n", -1), lambda x, i: ~F.array_contains("__drop", i))
-    out = out.withColumn(text_col, F.when(F.col("__drop").isNotNull(), F.array_join(left, "\n")).otherwise(t))
-    if numbers:
-        out = out.withColumn(numbers, F.coalesce("__drop", F.array().cast("array<int>")))
-    return out.select(*docs.columns, *([numbers] if numbers else []))
+    out = docs.join(drop, docs[id_col].eqNullSafe(F.col(at)) & (fingerprint(docs[text_col]) == F.col(of)), "left")
+    left = F.filter(F.split(t, "\n", -1), lambda x, i: ~F.array_contains(gone, i))
+    new = F.when(F.col(gone).isNotNull(), F.array_join(left, "\n")).otherwise(t).alias(text_col)
+    found = [F.coalesce(gone, F.array().cast("array<int>")).alias(numbers)] if numbers else []
+    return out.select(*(new if c == text_col else F.col(c) for c in docs.columns), *found)

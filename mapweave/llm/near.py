@@ -10,7 +10,9 @@ to it. That leaves pairs with a member z beyond the threshold, in groups of one
 difference with L. The difference of z and y is that of E(z) and E(y), so a link bounds it by
 (100 - p) / (100 + p) * (|z| + |y|), while E(z) exceeds the same share of |z| + |L|. Hence E(z) and E(y) overlap in more
 than half of E(y), up to a term in |L| - |y|, and a prefix filter applies: in one order of elements (those foreign to L
-first) a prefix of about half of each E must meet, and what remains after the first meeting must still hold the overlap.
+first, those that many members share last) a prefix of each E must meet, and what remains after the first meeting must
+still hold the overlap. Members made from one template, all beyond the threshold of one another, share the template's
+elements only at places where too little remains, so they do not meet; a group of them is not compared in pairs.
 Each set also carries an odd sketch of 512 bits: every element flips the bit it hashes to. The bits in which two sketches
 differ are at most the elements in which the sets differ, so a pair whose sketches differ by more than a link allows goes
 without loss; short texts, whose edits meet by chance in the few elements of their leader, mostly fall here.
@@ -41,6 +43,8 @@ SHIFT = _random.integers(0, 2**64, PERMUTATIONS, dtype=U)
 SIGNATURE = "id long, text_hash long, n_shingles long, s1 long, s2 long, bands array<long>"
 #: Words of 64 bits of a set's odd sketch: every element flips one bit.
 ODD = [f"odd{i}" for i in range(8)]
+#: Pairs of one leader that go to one task, and members that share an element before it counts as common.
+SPLIT, COMMON = 256, 16
 SETS = "id long, shingles array<long>, " + ", ".join(f"{c} long" for c in ODD)
 
 
@@ -115,42 +119,78 @@ def _sets(k: int):
     return of
 
 
-def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _beside(d: DataFrame, right: DataFrame, heavy: DataFrame) -> DataFrame:
+    """``d`` (a, b, ...) joined to ``right`` on b. Rows of a b in ``heavy`` (b, parts) are dealt over so many tasks, each
+    with a copy of b's row, so that the leader of a large group is no task of its own."""
+    d = d.join(heavy, "b", "left").withColumn("salt", F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    right = right.join(heavy, "b", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return d.join(right, ["b", "salt"]).drop("salt")
+
+
+def _heavy(pairs: DataFrame) -> DataFrame:
+    n = pairs.groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") > SPLIT)
+    return broadcast_if_small(written(n.select("b", F.ceil(F.col("n") / SPLIT).cast("int").alias("parts")), "heavy"))
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, heavy: DataFrame) -> DataFrame:
     """``pairs`` (a, b) with the size of the intersection and of the union of their sets."""
     left, right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    d = pairs.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("both"), (F.size("x") + F.size("y")).cast("long").alias("sum"))
+    d = _beside(pairs.join(left, "a"), right, heavy)
+    d = d.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("both"), (F.size("x") + F.size("y")).cast("long").alias("sum"))
     return d.select("a", "b", "both", (F.col("sum") - F.col("both")).alias("either"))
 
 
-def _ring(star: DataFrame, sets: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
+def _ring(star: DataFrame, sets: DataFrame, joined: DataFrame, heavy: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs (a, b) of members of one leader's group with an open member, by the prefix filter on differences.
 
-    All bounds are in whole numbers: with p = percent, a link of z and y has
-    2 (100 + p) |E(z) & E(y)| >= (100 + p) (e(z) + e(y)) - (100 - p) (|z| + |y|)."""
+    All bounds are in whole numbers. With p = percent, up = 100 + p and down = 100 - p, a link of z and y has
+    2 up |E(z) & E(y)| >= up (e(z) + e(y)) - down (|z| + |y|). If the first element they share is at place i of E(z), at
+    most e(z) - i are shared, so reach(z) = up e(z) + down |z| - 2 up i is at least need(y) = up e(y) - down |y|, and
+    likewise for y. Over all sizes y may have, that bounds the places of z worth a look: the prefix."""
     up, down = 100 + percent, 100 - percent
     some = star.groupBy("b").agg(F.count("*").alias("n"), F.count_if("open").alias("o")).where("n > 1 and o > 0").select("b")
     label = joined.select(F.col("node").alias("a"), "component")
     d = star.join(some, "b", "left_semi").join(label, "a", "left").select("a", "b", "open", F.coalesce("component", "a").alias("component"))
     left, right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"), *ODD), sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
+    d = _beside(d.join(left, "a"), right, heavy)
     foreign, missing = F.array_sort(F.array_except("x", "y")), F.array_sort(F.array_except("y", "x"))
-    d = d.join(left, "a").join(right, "b").select("a", "b", "open", "component", F.size("x").cast("long").alias("n"), F.size("y").cast("long").alias("nl"), F.concat(foreign, missing).alias("d"), *ODD)
-    d = d.withColumn("e", F.size("d").cast("long"))
-    # As z: an overlap of at least (e - down / up * |z| (1 + 100 / p)) / 2; as y: of more than (e + down / up * (|L| - |y|)) / 2.
-    as_z = F.when(F.col("open"), F.col("e") - F.greatest(F.lit(1), F.expr(f"((e * {up} * {percent} - {down} * n * {100 + percent}) div ({2 * up * percent}))")) + 1).otherwise(0)
-    as_y = F.col("e") - F.greatest(F.lit(0), F.expr(f"(e * {up} + {down} * (nl - n)) div {2 * up}"))
-    d = d.withColumn("pz", as_z.cast("int")).withColumn("py", as_y.cast("int"))
-    d = d.select("a", "b", "open", "component", "n", "e", "pz", "py", *ODD, F.posexplode(F.slice("d", 1, F.least(F.col("e").cast("int"), F.greatest("pz", "py")))).alias("i", "element"))
-    d = written(d, "differences")
-    z = d.where("i < pz").select("element", F.col("b").alias("l"), *(F.col(c).alias(f"z_{c}") for c in ("a", "component", "n", "e", "i", *ODD)))
-    y = d.where("i < py").select("element", F.col("b").alias("l"), *(F.col(c).alias(f"y_{c}") for c in ("a", "open", "component", "n", "e", "i", *ODD)))
+    d = d.select("a", "b", "open", "component", F.size("x").cast("long").alias("n"), F.size("y").cast("long").alias("nl"), F.concat(foreign, missing).alias("d"), *ODD)
+    d = written(d.withColumn("e", F.size("d").cast("long")), "differences")
+
+    # Elements that many members share come last, the most common at the end: members made from one template have those
+    # in common, and at places so late that little of their difference is left to share.
+    common = d.select("b", F.explode("d").alias("element")).groupBy("b", "element").agg(F.count("*").alias("df")).where(F.col("df") > COMMON)
+    common = written(common, "common")
+    late = d.select("a", "b", F.explode("d").alias("element")).join(broadcast_if_small(common), ["b", "element"])
+    late = late.groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("df", "element"))).alias("late"))
+    d = d.join(late, ["a", "b"], "left").withColumn("late", F.coalesce(F.col("late.element"), F.array().cast("array<long>")))
+    d = d.withColumn("early", F.array_except("d", "late"))
+
+    most = F.expr(f"{down} * n div {percent}")  # elements in which a link's two sets may differ
+    as_z = F.when(F.col("open"), F.least(F.col("e"), most + 1)).otherwise(0)
+    as_y = F.greatest(F.lit(0), F.least(F.col("e"), most + 1, F.expr(f"(e * {up} + {down} * (n - nl) + {2 * up - 1}) div {2 * up}")))
+    d = d.withColumn("pz", as_z.cast("int")).withColumn("py", as_y.cast("int")).withColumn("from", F.size("early"))
+    prefix = F.slice(F.concat("early", "late"), 1, F.greatest("pz", "py"))
+    d = d.select("a", "b", "open", "component", "n", "nl", "e", "pz", "py", "from", *ODD, F.posexplode(prefix).alias("i", "element"))
+    reach, need = F.expr(f"{up} * e + {down} * n - {2 * up} * i"), F.expr(f"{up} * e - {down} * n")
+    least = F.expr(f"{up} * (e - ({down} * n div {percent})) - {down} * (n * 100 div {percent}) - {up + down}")  # of any y's need
+    # Common elements meet only where need(y) can be within reach(z): by steps of need, so that a group's pairs are not all made.
+    step = lambda c: F.floor(c / (F.greatest(F.lit(1), F.col("nl")) * up / 16)).cast("int")
+    is_common = F.col("i") >= F.col("from")
+    d = written(d.withColumn("own", F.when(is_common, step(need)).otherwise(0)).withColumn("low", F.when(is_common, step(least)).otherwise(0)).withColumn("high", F.when(is_common, step(reach)).otherwise(0)), "prefixes")
+    z = d.where("i < pz and low <= high").withColumn("step", F.explode(F.sequence("low", "high")))
+    z = z.select("element", F.col("b").alias("l"), "step", *(F.col(c).alias(f"z_{c}") for c in ("a", "component", "n", "e", "i", *ODD)))
+    y = d.where("i < py").select("element", F.col("b").alias("l"), F.col("own").alias("step"), *(F.col(c).alias(f"y_{c}") for c in ("a", "open", "component", "n", "e", "i", *ODD)))
     rest = F.least(F.col("z_e") - F.col("z_i"), F.col("y_e") - F.col("y_i"))
     fits = 2 * up * rest >= up * (F.col("z_e") + F.col("y_e")) - down * (F.col("z_n") + F.col("y_n"))
     sizes = F.least("z_n", "y_n") * 100 >= F.greatest("z_n", "y_n") * percent
     once = (F.col("z_a") != F.col("y_a")) & (~F.col("y_open") | (F.col("y_a") < F.col("z_a"))) & (F.col("z_component") != F.col("y_component"))
     apart = sum((F.bit_count(F.col(f"z_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in ODD), F.lit(0))
     close = up * apart <= down * (F.col("z_n") + F.col("y_n"))
-    met = z.join(y, (z["element"] == y["element"]) & (z["l"] == y["l"]) & once & sizes & fits & close)
-    return met.select(F.col("z_a").alias("a"), F.col("y_a").alias("b")).distinct()
+    met = z.join(y, (z["element"] == y["element"]) & (z["l"] == y["l"]) & (z["step"] == y["step"]) & once & sizes & fits & close)
+    found = written(met.select(F.col("z_a").alias("a"), F.col("y_a").alias("b")).distinct(), "ring")
+    discard(common)
+    return found
 
 
 def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -174,15 +214,19 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: st
     sets = written(rows.join(broadcast_if_small(able), ["id", "text_hash"], "left_semi").dropDuplicates(["id", "text_hash"]).select("id", "t").mapInArrow(_sets(shingle), SETS), "sets")
 
     star = mates.join(lead, "k").where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
-    star = written(_compared(star, sets), "star")
+    star = written(star, "star-pairs")
+    heavy = _heavy(star)
+    star_pairs, star = star, written(_compared(star, sets, heavy), "star")
     near = F.col("both") * 100 >= F.col("either") * percent
 
     joined = components(star.where(near).select("a", "b"))
-    ring = _compared(written(_ring(star.withColumn("open", ~near), sets, joined, percent), "ring"), sets)
+    candidates = _ring(star.withColumn("open", ~near), sets, joined, heavy, percent)
+    ring_heavy = _heavy(candidates)
+    ring = _compared(candidates, sets, ring_heavy)
 
     links = star.where(near).select("a", "b").union(ring.where(near).select("a", "b")).union(member.where("id <> rep").select("id", "rep"))
     found = components(links)
-    discard(many, mates, lead, able, sets)
+    discard(many, mates, lead, able, sets, classes, star_pairs, star, heavy, joined, candidates, ring_heavy)
     out = sig.join(found, sig["id"] == found["node"], "left")
     component = F.coalesce("component", "id")
     return out.select("id", "text_hash", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))

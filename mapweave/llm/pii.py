@@ -7,50 +7,73 @@ ones different pseudonyms (each is a permutation of its format's values).
 kind        valid if                                    permuted
 ==========  ==========================================  =====================================================
 card        13-19 digits, Luhn                          digits after the first; the check digit is made anew
+iban        country, check digits modulo 97             digits of the account; the check digits are made anew
 ssn         AAA-GG-SSSS in its legal ranges             all three parts, in those ranges
 phone       +country, or 10 digits in usual grouping    the last seven digits
 ip          four numbers up to 255                      all 32 bits
 date        a calendar date of 1800-2199                the day among those 400 years (146097 = 189 x 773)
-email       local part, domain                          the digits of the local part; its letters by a keyed hash
-secret      AWS-like key ids, key=value tokens          letters and digits by a keyed hash of the whole value
+email       local part, domain                          letters and digits by a keyed hash; the last label stays
+secret      key ids, bearer and web tokens, key=value   letters and digits by a keyed hash of the whole value
 ==========  ==========================================  =====================================================
 
-E-mail letters and secrets are not numbers; they get a keyed hash in their alphabet (as good as distinct for values of
-usual length, not provably a permutation). Values that do not validate stay.
+The round function and the hashes are HMAC-SHA-256. E-mails and secrets are not numbers; they get a keyed hash in their
+alphabet (as good as distinct for values of usual length, not provably a permutation). Values that do not validate stay.
+A run of digit groups may hold a card among other numbers (an expiry date, a leading count): every window of groups in a
+usual grouping is tried, the leftmost first.
 
 Defined results: null stays null; empty texts stay; texts without a value are returned unchanged; several values in a
-text are replaced in place; extra columns are kept.
+text are replaced in place, whatever its length; every row is treated by itself, so repeated rows get the same result,
+ties cannot arise and an empty table gives an empty one; extra columns are kept, but for one named as ``into`` or
+``kinds``, which is replaced.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import spare
+
 ROUNDS = 8
 DAYS = (189, 773)  # 1800-01-01 to 2199-12-31 are 146097 days
 SSN = (898, 99 * 9999)
 
+_NAMES = "password|passwd|secret|token|api[_-]?key"
 #: Kinds in the order in which their patterns are tried at a place.
 PATTERNS = {
-    "assigned": r"(?<=password=|token = \"|api_key=|secret=)[^\s\"']{6,}",
-    "email": r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
-    "secret": r"(?:AKIA|ASIA)[A-Z0-9]{16}|(?:gh[pousr]_|sk-)[A-Za-z0-9]{20,}",
+    "assigned": r"(?<=[=\"])(?<=password=|token = \"|api_key=|secret=)[^\s\"']{6,}"
+    rf"|(?<=[:= \"'])(?<=[:=][\"' ]{{0,3}})(?<=(?i:{_NAMES})[\"']?\s{{0,2}}[:=]\s{{0,2}}[\"']?)(?=[^\s\"']*\d)[^\s\"']{{6,}}",
+    "secret": r"(?:AKIA|ASIA)[A-Z0-9]{16}|(?:gh[pousr]_|sk-)[A-Za-z0-9]{20,}|eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{5,}|(?<=[Bb]earer )[A-Za-z0-9._~+/=-]{16,}",
+    "email": r"[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.]?\d)",
     "date": r"(?<!\d|\d-)(?:1[89]|2[01])\d{2}-\d{2}-\d{2}(?!-?\d)|(?<!\d|\d/)\d{2}/\d{2}/(?:1[89]|2[01])\d{2}(?!/?\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "card": r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-]?\d)",
     "phone": r"(?<!\d)(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\d.])(?:\+\d{1,3}[ .-]?)?\d{3}[ .-]\d{3}[ .-]\d{4}(?!\d)|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)",
 }
+#: Digit groups among which cards are looked for, in what the other patterns leave, and the usual lengths of a card's groups.
+RUN = r"\d[\d -]{11,}\d"
+CARD_GROUPS = r"^(?:1[3-9]|4-6-[45]|4-4-4-[1-4]|4-4-4-4-[1-3])$"
 
-#: What every match of PATTERNS holds, with what is before it: an @, an assignment or the start of a key, or two digits.
-GATE = r"@|password=|token = \"|api_key=|secret=|AKIA|ASIA|gh[pousr]_|sk-|\d[ .-]?\d"
+#: What every match of PATTERNS and RUN holds, with what is before it: an @, a name or start of a secret, or two digits.
+GATE = rf"@|(?i:{_NAMES})|AKIA|ASIA|gh[pousr]_|sk-|eyJ|earer |\d[ .-]?\d"
 
 
 def keyed(key: str, kind: str, *parts: Column) -> Column:
-    """A pseudo-random number below 2^60 from the key, the kind and the parts."""
-    text = F.concat_ws("|", F.lit(key), F.lit(kind), *(p.cast("string") for p in parts))
-    return F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long")
+    """A pseudo-random number below 2^60: HMAC-SHA-256 of the kind and the parts. The key becomes a literal of the plan."""
+    k = key.encode()
+    k = (hashlib.sha256(k).digest() if len(k) > 64 else k).ljust(64, b"\0")
+    inner, outer = (F.lit(bytearray(b ^ pad for b in k)) for pad in (0x36, 0x5C))
+    text = F.concat_ws("|", F.lit(kind), *(p.cast("string") for p in parts)).cast("binary")
+    mac = F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, text), 256))), 256)
+    return F.conv(F.substring(mac, 1, 15), 16, 10).cast("long")
+
+
+def let(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def feistel(left: Column, left_size: Column, right: Column, right_size: Column, key: str, kind: str, tweak: Column | None = None) -> Column:
@@ -91,12 +114,65 @@ def luhn_sum(digits: Column, doubled_from_last: int) -> Column:
     return F.aggregate(F.transform(F.filter(back, lambda d: d != ""), weigh), F.lit(0), lambda a, b: a + b)
 
 
+def is_card(digits: Column) -> Column:
+    return F.char_length(digits).between(13, 19) & (luhn_sum(digits, 1) % 10 == 0)
+
+
 def _card(v: Column, key: str) -> Column:
     d = only_digits(v)
     n = F.char_length(d)
     body = F.concat(F.substr(d, F.lit(1), F.lit(1)), permute_digits(F.substr(d, F.lit(2), n - 2), key, "card", F.substr(d, F.lit(1), F.lit(1))))
-    made = F.transform(F.array(body), lambda b: F.concat(b, F.pmod(10 - luhn_sum(b, 0) % 10, F.lit(10)).cast("string")))
-    return F.when((luhn_sum(d, 1) % 10 == 0) & (n >= 13), into_format(v, F.get(made, F.lit(0))))
+    return let(body, lambda b: into_format(v, F.concat(b, F.pmod(10 - luhn_sum(b, 0) % 10, F.lit(10)).cast("string"))))
+
+
+def piece(kind: Column | None, value: Column) -> Column:
+    return F.struct((F.lit(None) if kind is None else kind).cast("string").alias("kind"), value.alias("value"))
+
+
+def _cards_of_run(run: Column, key: str) -> Column:
+    """Pieces of a run of digit groups: the cards in it, left to right, and what is between them."""
+
+    def found(r: Column) -> Column:
+        groups, n = r.groups, F.size(r.groups)
+
+        def fits(i: Column, k: Column) -> Column:
+            own = F.slice(groups, i + 1, k)
+            shape = F.array_join(F.transform(own, lambda g: F.char_length(g).cast("string")), "-")
+            single = F.forall(F.slice(r.gaps, i + 2, k - 1), lambda g: F.char_length(g) == 1)
+            return (i + k <= n) & single & (F.rlike(shape, F.lit(CARD_GROUPS)) | ((i == 0) & (k == n))) & is_card(F.array_join(own, ""))
+
+        size = lambda i: F.coalesce(F.get(F.filter(F.array(F.lit(4), F.lit(3), F.lit(1), F.lit(5), n), lambda k: fits(i, k)), F.lit(0)), F.lit(0))
+        start = F.struct(F.lit(0).alias("next"), F.array().cast("array<struct<i:int,k:int,since:int>>").alias("cards"))
+
+        def step(s: Column, i: Column) -> Column:
+            card = lambda k: F.struct((i + k).alias("next"), F.concat(s.cards, F.array(F.struct(i.alias("i"), k.alias("k"), s.next.alias("since")))).alias("cards"))
+            return F.when(i < s.next, s).otherwise(let(size(i), lambda k: F.when(k > 0, card(k)).otherwise(s)))
+
+        parts = F.flatten(F.transform(r.gaps, lambda g, i: F.array(g, F.coalesce(F.get(groups, i), F.lit("")))))
+        text = lambda a, k: F.array_join(F.slice(parts, a + 1, k), "")
+        one = lambda c: F.array(piece(None, text(2 * c.since, 2 * (c.i - c.since) + 1)), let(text(2 * c.i + 1, 2 * c.k - 1), lambda v: piece(F.lit("card"), _card(v, key))))
+        rest = lambda s: F.concat(F.flatten(F.transform(s.cards, one)), F.array(piece(None, text(2 * s.next, 2 * n + 2))))
+        last = lambda s: F.struct(F.when(F.size(s.cards) > 0, s.next).otherwise(0).alias("next"), s.cards.alias("cards"))
+        return let(F.aggregate(F.sequence(F.lit(0), n - 1), start, step, last), rest)
+
+    return let(F.struct(F.regexp_extract_all(run, F.lit("[0-9]+"), 0).alias("groups"), F.split(run, "[0-9]+", -1).alias("gaps")), found)
+
+
+def _cards(text: Column, key: str) -> Column:
+    runs = F.struct(F.split(text, RUN, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(RUN), 0).alias("runs"))
+    one = lambda x, g, i: F.concat(F.array(piece(None, g)), F.when(i < F.size(x.runs), _cards_of_run(F.get(x.runs, i), key)).otherwise(F.array().cast(PIECES)))
+    return let(runs, lambda x: F.flatten(F.transform(x.gaps, lambda g, i: one(x, g, i))))
+
+
+def _iban(v: Column, key: str) -> Column:
+    s = F.replace(v, F.lit(" "), F.lit(""))
+    country, bban = F.substr(s, F.lit(1), F.lit(2)), F.substr(s, F.lit(5))
+    worth = lambda c: F.when(c.rlike("[0-9]"), c.try_cast("long")).otherwise(F.ascii(c) - 55)
+    mod97 = lambda t: F.aggregate(F.filter(F.split(t, ""), lambda c: c != ""), F.lit(0).cast("long"), lambda a, c: (a * F.when(c.rlike("[0-9]"), 10).otherwise(100) + worth(c)) % 97)
+    old = only_digits(bban)
+    valid = (F.char_length(old) >= 2) & (mod97(F.concat(bban, F.substr(s, F.lit(1), F.lit(4)))) == 1)
+    check = lambda new: F.lpad((98 - mod97(F.concat(into_format(bban, new), country, F.lit("00")))).cast("string"), 2, "0")
+    return F.when(valid, let(permute_digits(old, key, "iban", country), lambda new: into_format(v, F.concat(check(new), new))))
 
 
 def _ssn(v: Column, key: str) -> Column:
@@ -145,31 +221,63 @@ def _hashed(v: Column, key: str, kind: str) -> Column:
 
 
 def pseudonym(v: Column, matched: Column, key: str) -> Column:
-    """Struct (kind, value) of a match of the pattern ``matched``; kind is null, and the value as it was, if it does not validate."""
-    local = F.substring_index(v, "@", 1)
+    """Piece of a match of the pattern ``matched``: kind is null, and the value as it was, if it does not validate."""
+    local, domain = F.substring_index(v, "@", 1), F.substring_index(v, "@", -1)
+    last = F.substring_index(domain, ".", -1)
+    names = _hashed(F.substr(domain, F.lit(1), F.char_length(domain) - F.char_length(last)), key, "domain")
     made = {
-        "email": F.concat(_hashed(local, key, "email"), F.substr(v, F.char_length(local) + 1)), "ip": _ip(v, key), "date": _date(v, key),
-        "ssn": _ssn(v, key), "card": _card(v, key), "phone": _phone(v, key),
+        "email": F.concat(_hashed(local, key, "email"), F.lit("@"), names, last), "iban": _iban(v, key), "ip": _ip(v, key), "date": _date(v, key),
+        "ssn": _ssn(v, key), "phone": _phone(v, key),
     }
     kind = F.when(matched.isin("assigned", "secret"), F.lit("secret")).otherwise(matched)
     value = F.when(kind == "secret", _hashed(v, key, "secret"))
     for k, new in made.items():
         value = value.when(kind == k, new)
-    return F.struct(F.when(value.isNotNull(), kind).alias("kind"), F.coalesce(value, v).alias("value"))
+    return let(value, lambda x: piece(F.when(x.isNotNull(), kind), F.coalesce(x, v)))
+
+
+#: Characters that no text should have; those of texts that do are written as ESC and a letter while the text is searched.
+MARK, SEP, ESC = "\ufdd0", "\ufdd1", "\ufdd2"
+
+
+def _escaped(t: Column) -> Column:
+    for c, letter in ((ESC, "c"), (MARK, "a"), (SEP, "b")):
+        t = F.replace(t, F.lit(c), F.lit(ESC + letter))
+    return t
+
+
+def _unescaped(t: Column) -> Column:
+    for c, letter in ((SEP, "b"), (MARK, "a"), (ESC, "c")):
+        t = F.replace(t, F.lit(ESC + letter), F.lit(c))
+    return t
+
+
+PIECES = "array<struct<kind:string,value:string>>"
 
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", into: str | None = None, kinds: str = "pii_kinds") -> DataFrame:
     """``docs`` with pseudonyms in ``into`` (default: the text column) and the kinds replaced, in order, in ``kinds``."""
     pattern = "|".join(f"({p})" for p in PATTERNS.values())
+    (pieces,) = spare(docs, "pieces")
     t = F.col(text_col)
     # Cheap first: texts without what every match holds are not searched.
-    out = docs.withColumn("__hits", F.when(t.rlike(GATE), F.regexp_extract_all(t, F.lit(pattern), 0)))
-    of = [F.regexp_extract_all(t, F.lit(pattern), i + 1) for i in range(len(PATTERNS))]
-    out = out.withColumn("__by", F.when(F.size("__hits") > 0, F.array(*of)))
-    matched = lambda i: F.coalesce(*(F.when(F.get(F.get("__by", F.lit(j)), i) != "", F.lit(k)) for j, k in enumerate(PATTERNS)))
-    out = out.withColumn("__kinds", F.transform("__hits", lambda v, i: matched(i)))
-    out = out.withColumn("__new", F.when(F.size("__hits") > 0, F.transform(F.arrays_zip("__hits", "__kinds"), lambda x: pseudonym(x["__hits"], x["__kinds"], key))))
-    gaps = F.split(t, pattern, -1)
-    text = F.array_join(F.flatten(F.transform(gaps, lambda g, i: F.array(g, F.coalesce(F.get("__new", i)["value"], F.lit(""))))), "")
-    found = F.coalesce(F.filter(F.transform("__new", lambda x: x["kind"]), lambda k: k.isNotNull()), F.array().cast("array<string>"))
-    return out.withColumn(kinds, found).withColumn(into or text_col, F.when(F.size("__hits") > 0, text).otherwise(t)).drop("__hits", "__by", "__kinds", "__new")
+    gate = t.rlike(GATE)
+    # One search: each match is set off by MARK and written as the groups of all alternatives, of which one is not empty.
+    shown = MARK + SEP.join(f"${i + 1}" for i in range(len(PATTERNS))) + MARK
+    parts = F.split(F.regexp_replace(_escaped(t), F.lit(pattern), F.lit(shown)), MARK, -1)
+
+    def match(groups: Column) -> Column:
+        by = F.coalesce(*(F.when(F.get(groups, F.lit(j)) != "", F.lit(k)) for j, k in enumerate(PATTERNS)))
+        return let(F.struct(F.array_join(groups, "").alias("v"), by.alias("by")), lambda m: pseudonym(m.v, m.by, key))
+
+    first = lambda x: F.transform(x, lambda p, i: F.when(i % 2 == 0, piece(None, p)).otherwise(let(F.split(p, SEP, -1), match)))
+    cards = lambda p: F.when(p.kind.isNull() & p.value.rlike(RUN), _cards(p.value, key)).otherwise(F.array(p))
+    out = docs.withColumn(pieces, F.when(gate, F.flatten(F.transform(let(parts, first), cards))))
+    return out.select(*_outputs(docs, F.col(pieces), t, into or text_col, kinds))
+
+
+def _outputs(docs: DataFrame, pieces: Column, t: Column, into: str, kinds: str) -> list[Column]:
+    text = F.coalesce(_unescaped(F.array_join(F.transform(pieces, lambda p: p.value), "")), t).alias(into)
+    done = F.coalesce(F.filter(F.transform(pieces, lambda p: p.kind), lambda k: k.isNotNull()), F.array().cast("array<string>")).alias(kinds)
+    new = {into: text, kinds: done}
+    return [new.pop(c, F.col(c)) for c in docs.columns] + list(new.values())

@@ -6,7 +6,8 @@ the chunks' pooled vectors gives, through one layer, the probability. Fitted by
 (``rows``; texts up to 100,000 bytes) and applied to whole texts in Arrow batches; the model has a fixed size of 30 KB.
 
 Defined results: null and empty texts are one chunk of padding and get its score; without labelled rows the score is 0.5;
-extra columns are kept.
+repeated rows get equal probabilities, whatever ties there are, and an empty table an empty result; extra columns are
+kept, but for one named as ``into``, which is replaced.
 """
 
 from __future__ import annotations

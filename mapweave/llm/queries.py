@@ -11,7 +11,8 @@ from . import decontaminate, exact, licenses, lines, near, packing, pii, quality
 from .training import held_out
 
 SHARDS, CAPACITY = 16, 1024
-PSEUDONYM_KEY = "replace-this-key"
+#: The session setting that holds the key of the pseudonyms; without it, a key that only development may use.
+KEY_SETTING, DEVELOPMENT_KEY = "spark.mapweave.pseudonym.key", "development"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,7 +50,7 @@ def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = pii.pseudonymise(docs, PSEUDONYM_KEY, kinds="kinds")
+    out = pii.pseudonymise(docs, spark.conf.get(KEY_SETTING, DEVELOPMENT_KEY), kinds="kinds")
     return out.select("doc_id", F.size("kinds").cast("long").alias("n_replaced"), F.array_join(F.array_sort(F.array_distinct("kinds")), ",").alias("kinds"), "text")
 
 
@@ -74,7 +75,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
+    import corpus_pipeline  # at the top of the repository: ship it with the package
 
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -86,6 +87,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _WORDS = r"""list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"""
 
+#: Lines with their places, each distinct line's first place and the first place of another line within one edit of it.
+#: The edit distance of DuckDB counts bytes, so it only narrows the pairs; the comparison around one place counts characters.
+_LINES = r"""l AS (SELECT doc_id, i - 1 AS nth, string_split(text, chr(10))[i] AS raw FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL)),
+        t AS (SELECT *, {'d': doc_id, 'n': nth} AS place, trim(raw, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line FROM l),
+        f AS (SELECT line, length(line) AS n, min(place) AS first FROM t WHERE line <> '' GROUP BY line),
+        near AS (SELECT a.line, min(b.first) AS other FROM (SELECT *, unnest([n - 1, n, n + 1]) AS m FROM f) a JOIN f b ON b.n = a.m
+                 WHERE a.line <> b.line AND b.first < a.first AND levenshtein(a.line, b.line) <= 4
+                 AND len(list_filter(range(0, a.n + 1), lambda i: left(a.line, i) = left(b.line, i) AND (substr(a.line, i + 2) = substr(b.line, i + 2) OR substr(a.line, i + 2) = substr(b.line, i + 1) OR substr(a.line, i + 1) = substr(b.line, i + 2)))) > 0
+                 GROUP BY a.line),
+        gone AS (SELECT t.*, coalesce(line <> '' AND (place <> first OR other IS NOT NULL), FALSE) AS gone FROM t LEFT JOIN f USING (line) LEFT JOIN near USING (line))"""
+
+#: The checksum's table of 256 values by its rule, and the checksum of a text by folding its bytes over it.
+_CRC = """c AS (SELECT list(list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) ORDER BY b) AS t FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS b)),
+        x AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST((strpos('0123456789ABCDEF', h[1]) - 1) * 16 + strpos('0123456789ABCDEF', h[2]) - 1 AS BIGINT)) AS bytes FROM documents)"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_decontaminate": f"""
         WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
@@ -105,4 +121,29 @@ ORACLE_SQL: dict[str, str] = {
         WITH r AS (SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS norm FROM documents)
         SELECT doc_id, first_value(doc_id) OVER (PARTITION BY norm ORDER BY points DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
                doc_id = first_value(doc_id) OVER (PARTITION BY norm ORDER BY points DESC, doc_id) AS kept, sha256(norm) AS text_sha256 FROM r""",
+    "op3_line_dedup": f"""
+        WITH {_LINES},
+        g AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, string_agg(CAST(nth AS VARCHAR), ',' ORDER BY nth) FILTER (gone) AS dropped,
+              string_agg(raw, chr(10) ORDER BY nth) FILTER (NOT gone) AS left_ FROM gone GROUP BY doc_id)
+        SELECT d.doc_id, CAST(coalesce(n_lines, 1) AS BIGINT) AS n_lines, CAST(coalesce(n_dropped, 0) AS BIGINT) AS n_dropped, coalesce(dropped, '') AS dropped,
+               CASE WHEN text IS NOT NULL THEN coalesce(left_, '') END AS text
+        FROM documents d LEFT JOIN g USING (doc_id)""",
+    "op4_near_dedup": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' '))
+              WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle FROM d),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * p.shared >= 80 * (x.n + y.n - p.shared)),
+        e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+        r AS (SELECT a AS node, a AS reach FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.reach = e.a),
+        c AS (SELECT node, min(reach) AS component FROM r GROUP BY node)
+        SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(component, d.doc_id)) AS component_id, least(d.doc_id, coalesce(component, d.doc_id)) = d.doc_id AS kept
+        FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.node = d.doc_id""",
+    "op5_shards": f"""
+        WITH {_CRC},
+        h AS (SELECT doc_id, size, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes), lambda s, b: xor(s >> 8, t[(xor(s, b) & 255) + 1])), 4294967295) AS text_crc32 FROM x, c),
+        o AS (SELECT *, sum(size) OVER (ORDER BY doc_id) - size AS before, sum(size) OVER () AS total FROM h),
+        p AS (SELECT doc_id, size, text_crc32, least((before * 2 + size) * 16 // (total * 2), 15) AS shard FROM o)
+        SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'bytes' AS law, CAST(shard AS INT) AS shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, CAST(NULL AS INT) AS grown_shard FROM p""",
 }

@@ -7,7 +7,8 @@ size. Terms of fewer than ``least`` sample texts have neither; of the others all
 between the classes by themselves have a weight: a group's name, as common in clean as in toxic texts, counts in pairs.
 
 Defined results: null and empty texts have no terms and get the score of the bias; without any labelled row the score is 0;
-extra columns are ignored by ``score`` and kept by ``remove``.
+repeated rows get equal scores and an empty table an empty result; extra columns are kept, but for one named as ``into``,
+which is replaced by the score.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import spare
 from .hashing import U, alphanumeric, slices, word_hashes
 from .training import labelled_sample
 
@@ -144,4 +146,5 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
 
 def remove(docs: DataFrame, machine: Machine, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
     """``docs`` without the documents whose score reaches the threshold."""
-    return score(docs, machine, text_col=text_col, into="__toxicity").where(F.col("__toxicity") < threshold).select(docs.columns)
+    (of,) = spare(docs, "toxicity")
+    return score(docs, machine, text_col=text_col, into=of).where(F.col(of) < threshold).select(docs.columns)

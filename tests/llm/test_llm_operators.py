@@ -46,7 +46,7 @@ def none(spark):
 
 
 def both(docs, real):
-    return [docs.select("doc_id", "text"), real.select("doc_id", "text")]
+    return [docs, real.select("doc_id", "text")]
 
 
 def lower(t):
@@ -134,9 +134,9 @@ def test_lines(spark, docs, real, none):
             drop = set()
             for n, x in enumerate(t.split("\n")):
                 x = x.strip(" \t\r\x0b\x0c")
-                if len(x) < 5:
+                if not x:
                     continue
-                if x in seen or len(x) >= 20 and any(len(y) >= 20 and edits(x, y) for y in seen):
+                if x in seen or any(edits(x, y) for y in seen):
                     drop.add(n)
                 seen.append(x)
             want[i] = ("\n".join(x for n, x in enumerate(t.split("\n")) if n not in drop), sorted(drop))
@@ -144,6 +144,8 @@ def test_lines(spark, docs, real, none):
         assert got == want
     out = lines.remove(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
+    strict = lines.remove(docs, numbers="gone", min_chars=5, fuzzy_chars=20).agg(F.sum(F.size("gone"))).first()[0]
+    assert 0 < strict < lines.remove(docs, numbers="gone").agg(F.sum(F.size("gone"))).first()[0]
     assert lines.remove(none).count() == 0
 
 
@@ -173,6 +175,28 @@ def test_near(spark, docs, real, none):
     assert near.near_groups(none).count() == 0
 
 
+def test_near_with_templates_and_shared_ids(spark):
+    r = np.random.default_rng(9)
+    base = [f"t{i}" for i in range(120)]
+    rows = []
+    for share in (100, 108, 112):  # of 120 words; the first are linked to nothing, the last to all of theirs
+        for i in range(60):
+            rows.append((len(rows), " ".join(base[:share] + [f"u{len(rows)}x{j}" for j in range(120 - share)])))
+    own = [f"s{i}" for i in range(30)]
+    rows += [(len(rows) + i, " ".join(base[:80] + own + [f"v{i}x{j}" for j in range(10 if i % 2 else 4)])) for i in range(60)]
+    r.shuffle(rows)
+    rows = [(int(i), t) for i, t in rows] + [(7, "a b c d e"), (7, "p q r s t"), (5000, "a b c d e"), (5001, "p q r s t")]
+    sets = [(i, {tuple(t.split()[p : p + 4]) for p in range(len(t.split()) - 3)}) for i, t in rows]
+    low = {i: i for i, _ in sets}
+    links = [(i, j) for k, (i, x) in enumerate(sets) for j, y in sets[:k] if 100 * len(x & y) >= 80 * len(x | y)]
+    while any(low[i] != low[j] for i, j in links):
+        for i, j in links:
+            low[i] = low[j] = min(low[i], low[j])
+    got = near.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), shingle=4).collect()
+    assert sorted((x.id, x.component_id) for x in got) == sorted((i, low[i]) for i, _ in sets)
+    assert low[5000] == low[5001] == 7  # an id is one node with all its texts
+
+
 def test_odd_sketches_bound_the_difference_of_sets():
     r = np.random.default_rng(5)
     base = [f"w{i}" for i in r.integers(0, 50, 300)]
@@ -205,25 +229,62 @@ def luhn(d):
     return sum(sum(divmod(2 * int(c), 10)) if i % 2 else int(c) for i, c in enumerate(reversed(d))) % 10 == 0
 
 
-def test_pii(spark, docs, none):
+def test_pii(spark, docs, real, none):
     out = pii.pseudonymise(docs, "k")
     assert [c for c in out.columns if c != "pii_kinds"] == docs.columns
-    row = next(r for r in out.collect() if r.text and r.text.startswith("mail"))
+    rows = out.collect()
+    assert sorted(((r.doc_id, r.lang, r.w) for r in rows), key=repr) == sorted(((r.doc_id, r.lang, r.w) for r in docs.collect()), key=repr)
+    assert {r.text for r in rows if not r.pii_kinds} == {t for t in [*AWKWARD, "a b c d e"] if t is None or not t.startswith("mail")}
+    row = next(r for r in rows if r.text and r.text.startswith("mail"))
     assert row.pii_kinds == ["email", "ip", "phone", "card", "ssn", "date", "date"]
     shape = lambda t: re.sub("[a-z]", "a", re.sub("[0-9]", "9", t))
     before = next(t for t in AWKWARD if t and t.startswith("mail"))
     assert re.sub(r"9+\.9+\.9+\.9+", "ip", shape(row.text)) == re.sub(r"9+\.9+\.9+\.9+", "ip", shape(before)) and row.text != before
     assert luhn(re.sub(r"\D", "", re.search(r"card ([\d ]+),", row.text)[1]))
-    for value in ("4539 1488 0343 6467", "123-45-6789", "2020-02-29", "10.2.3.4", "bo.42@mail8", "555-2485"):
+    for value in ("4539 1488 0343 6467", "123-45-6789", "2020-02-29", "10.2.3.4", "bo.42@mail8", "555-2485", "example"):
         assert value not in row.text
     values = [f"{a}-{g:02d}-{s:04d}" for a in (100, 665, 667, 899) for g in (1, 99) for s in (1, 9999)] + [f"20{y:02d}-0{m}-28" for y in range(30) for m in range(1, 10)]
     values += [f"10.0.{a}.{b}" for a in range(12) for b in range(12)] + [f"+1 (988) 555-{n:04d}" for n in range(200)] + ["666-12-1234", "2021-02-29", "1.2.3.400", "4539148803436468"]
     got = {r.v: r.text for r in pii.pseudonymise(spark.createDataFrame([(v, v) for v in values], "v string, text string"), "k").collect()}
     assert len(set(got.values())) == len(values)  # a permutation: no two values meet
     assert all(got[v] == v for v in values[-4:]) and sum(got[v] == v for v in values[:-4]) < 4
+    assert {got[v] for v in values[:-4]} != {r.text for r in pii.pseudonymise(spark.createDataFrame([(v,) for v in values[:-4]], "text string"), "other").collect()}
     assert pii.pseudonymise(none, "k").count() == 0
 
 
+CARD = "4539 1488 0343 6467"
+
+
+def test_pii_leaks_and_look_alikes(spark):
+    gone = {
+        "host 1.2.3.4 is up": ["1.2.3.4"], "password=ab-cd-ef!": ["ab-cd-ef"], 'token = "abcdefgh"': ["abcdefgh"], "password=Sup3r@secretvalue99": ["Sup3r", "secretvalue99"],
+        "password=666-12-1234": ["666-12-1234"], "password=12345678901234": ["12345678901234"], f"{CARD} 12/27": [CARD], f"item 2 {CARD}": [CARD], f"{CARD} 123": [CARD],
+        "2020 4539148803436467": ["4539148803436467"], f"{CARD} 4539148803436467": [CARD, "4539148803436467"], "secret: a1b2c3d4": ["a1b2c3d4"],
+        "Bearer abcdefghij.klmnop-12": ["abcdefghij", "klmnop"], "IBAN DE89 3704 0044 0532 0130 00": ["3704 0044"], f"+1 (988) 555-2485 {CARD}": ["555-2485", CARD],
+        "555-123-4567 555-987-6543": ["123-4567", "987-6543"], "\ufdd0\ufdd2a 8.8.8.8": ["8.8.8.8"],
+    }
+    kept = ["the secret: nothing special", "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15", "9" * 5000, "1 " * 5000, "IBAN DE88 3704 0044 0532 0130 00", "\ufdd0\ufdd1\ufdd2b 12"]
+    rows = [(i, t) for i, t in enumerate([*gone, *kept])]
+    got = {r.i: r for r in pii.pseudonymise(spark.createDataFrame(rows, "i int, text string"), "k").collect()}
+    for i, (t, values) in enumerate(gone.items()):
+        assert got[i].pii_kinds and not any(v in got[i].text for v in values), (t, got[i].text)
+    assert [got[len(gone) + i].text for i in range(len(kept))] == kept
+    cards = {re.search(r"(?<!-)\b\d{4}(?: \d{4}){3}", got[i].text)[0] for i, t in enumerate(gone) if CARD in t}
+    assert len(cards) == 1 and luhn(cards.pop().replace(" ", ""))  # linked, whatever stands beside it
+    assert got[list(gone).index(f"{CARD} 12/27")].text.endswith(" 12/27")
+
+
+def test_pii_against_plain_search(real):
+    """The same matches as Python's search with the patterns it can express, over whole texts; all else is unchanged."""
+    cards, others = re.compile(r"(?<!\d)\d{16}(?!\d)"), re.compile("|".join(pii.PATTERNS[k] for k in ("ip", "ssn", "phone")))
+    for before, r in zip(real.orderBy("doc_id").collect(), pii.pseudonymise(real, "k").orderBy("doc_id").collect(), strict=True):
+        for m in [m for m in cards.finditer(before.text or "") if luhn(m[0]) and "[ -]\\d" not in m[0]]:
+            assert "card" in r.pii_kinds or "secret" in r.pii_kinds, m
+        ips = [m[0] for m in others.finditer(before.text or "") if m[0].count(".") == 3 and all(int(p) < 256 for p in m[0].split("."))]
+        assert r.pii_kinds.count("ip") == len(ips)
+        assert bool(r.pii_kinds) == (r.text != before.text) and (r.text is None) == (before.text is None)
+
+
 def test_packing(docs, real, none):
     from tokenizers import Tokenizer
 
@@ -301,6 +362,77 @@ def test_classifiers_awkward(spark, docs, none):
     assert ends[first[1] - 1] * quality.STRIDE >= len(whole) and all(a <= b for a, b in zip(starts[1 : first[1]], ends, strict=False))
 
 
+def test_toxicity_is_the_sum_over_pairs():
+    r = np.random.default_rng(2)
+    m = toxicity.Machine(np.arange(1 << toxicity.BITS, dtype=np.int32) % 50, r.normal(size=51).astype(np.float32), r.normal(size=(51, 8)).astype(np.float32), 0.3)
+    m.w[50], m.v[50] = 0, 0
+    texts = ["you are an idiot", "", None, "one", "Word word WORD other", LONG]
+    for _, terms, bounds in toxicity.term_sets(pa.array(texts)):
+        assert len(bounds) == len(texts) + 1 and bounds[1] == bounds[2] == bounds[3] - 0
+        for got, a, b in zip(toxicity.logits(m, terms, bounds), bounds[:-1], bounds[1:], strict=True):
+            at = [int(m.place[t]) for t in terms[a:b]]
+            want = 0.3 + sum(float(m.w[i]) for i in at) + sum(float(np.dot(m.v[i].astype(float), m.v[j])) for k, i in enumerate(at) for j in at[:k])
+            assert got == pytest.approx(want, rel=1e-4, abs=1e-4)
+
+
+def test_quality_is_a_plain_convolution_and_its_gradient():
+    net = {k: v.astype(np.float64) for k, v in quality.start_net(3).items()}
+    texts = [b"", b"x", bytes(range(256)) * 5, b"some text. " * 70]
+
+    def plain(t):
+        n = max(1, -(-len(t) // quality.STRIDE))
+        data = np.frombuffer(t.ljust(n * quality.STRIDE + quality.WIDTH, b"\0"), np.uint8)
+        responses = np.array([sum(net["E"][data[p * quality.STRIDE + k]] @ net["W"][k * quality.DIM : (k + 1) * quality.DIM] for k in range(quality.WIDTH)) for p in range(n)])
+        chunks = [responses[s : s + quality.CHUNK].max(0) for s in range(0, max(1, n - (quality.CHUNK - quality.STEP)), quality.STEP)]
+        pooled = np.mean([np.maximum(c + net["b"], 0) for c in chunks], axis=0)
+        return float(np.maximum(pooled @ net["H"] + net["h"], 0) @ net["u"][:, 0] + net["c"][0])
+
+    want = np.array([plain(t) for t in texts])
+    assert np.allclose(quality.probabilities(net, texts), 1 / (1 + np.exp(-want)), atol=1e-6)
+    y = np.array([0.0, 1.0, 1.0, 0.0])
+    loss = lambda: float(np.mean([-np.log(p if one else 1 - p) for p, one in zip(quality.probabilities(net, texts), y, strict=True)]))
+    g = quality.gradients(net, texts, y)
+    for name, at in (("u", (2, 0)), ("c", (0,)), ("H", (3, 2)), ("h", (2,)), ("b", (5,)), ("W", (9, 4)), ("E", (ord("t"), 1))):
+        kept, step = net[name][at], 1e-5
+        net[name][at] = kept + step
+        more = loss()
+        net[name][at] = kept - step
+        less = loss()
+        net[name][at] = kept
+        assert g[name][at] == pytest.approx((more - less) / (2 * step), rel=2e-2, abs=1e-5), name
+
+
+def test_pipeline_end_to_end(spark, tmp_path):
+    import corpus_pipeline as c
+
+    r = np.random.default_rng(4)
+    word = lambda: "".join(r.choice(list("abcdefghij"), 6))
+    plain = [" ".join(word() for _ in range(60)) for _ in range(30)]
+    item = " ".join(word() for _ in range(14))
+    shared = " ".join(word() for _ in range(12))
+    rude = [" ".join([*(word() for _ in range(20)), "you idiot"]) for _ in range(40)]
+    texts = [*plain, plain[0] + " tail", f"{plain[1][:40]} {item} {word()}", f"{shared}\n" + plain[2][::-1], f"{shared}\n" + plain[3][::-1], shared, None, "", *rude]
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(i, 1, int(bool(t) and t.endswith("idiot"))) for i, t in enumerate(texts)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = c.run(spark, str(tmp_path)).collect()
+    first = len(plain)
+    # Gone: the near copy, the document with the benchmark item, the one left empty by line dedup, and the toxic ones.
+    assert {x.doc_id for x in got} == set(range(len(texts))) - {first, first + 1, first + 4} - set(range(first + 7, len(texts)))
+    out = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    before = 0
+    for name, stage in c.STAGES[:-1]:
+        out = stage(spark, out, str(tmp_path)).cache()
+        assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
+        kept = {x.doc_id: x for x in out.collect()}
+        assert all((x.text or None) is None or x.n_chars == len(x.text) for x in kept.values())
+        before = kept
+    assert set(before) == {x.doc_id for x in got} and before[first + 3].text == plain[3][::-1] and before[first + 2].text.startswith(shared)
+    spark.createDataFrame([], out.schema).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+    assert c.run(spark, str(tmp_path)).count() == 0
+
+
 def test_toxicity_learns_pairs_of_terms_that_say_nothing_alone():
     def sample(n, seed):
         random = np.random.default_rng(seed)
