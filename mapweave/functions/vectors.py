@@ -32,14 +32,19 @@ def finite(*cols: Column) -> Column:
 
 
 def angle_deg(trace: Column) -> Column:
-    """Angle of a rotation with this trace."""
-    return F.degrees(F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), (trace - 1) / 2))))
+    """Angle of a rotation with this trace; null and NaN as they are."""
+    return F.degrees(F.acos(clipped((trace - 1) / 2)))
+
+
+def clipped(x: Column) -> Column:
+    """x within -1 and 1. The functions least and greatest alone would pass over null, and put NaN above every number."""
+    return F.when(x < -1, -1.0).when((x > 1) & ~F.isnan(x), 1.0).otherwise(x)
 
 
 def direction_angle_deg(a: Column, b: Column, least: float = 1e-12) -> Column:
     """Angle between two directions; null if either has no length."""
     cos = dot(a, b) / (norm(a) * norm(b))
-    return F.when((norm(a) > least) & (norm(b) > least), F.degrees(F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), cos)))))
+    return F.when((norm(a) > least) & (norm(b) > least), F.degrees(F.acos(clipped(cos))))
 
 
 def quaternion_rotation(w: Column, x: Column, y: Column, z: Column) -> Column:

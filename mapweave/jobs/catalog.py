@@ -22,8 +22,8 @@ KNN = """f AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embedd
     k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ref_id) AS rank FROM s QUALIFY rank <= 5)"""
 CORR = f"""{POINTS}, c AS (SELECT frame_no AS batch, x AS sx, y AS sy, z AS sz, 1.25 * (0.9396926207859084 * x - 0.3420201433256687 * y) + 0.4 + CASE WHEN conf < 0.4 THEN 5.0 ELSE 0.0 END AS tx,
     1.25 * (0.3420201433256687 * x + 0.9396926207859084 * y) - 0.2 AS ty, 1.25 * z + 0.7 AS tz, conf AS w FROM p)"""
-EDGES = """e AS (SELECT vec_id AS source, vec_id + 1 AS target, 'local_continuity' AS edge_type, 1.0 AS weight FROM embeddings WHERE vec_id % 7 <> 6 AND vec_id < 499
-    UNION ALL SELECT vec_id, vec_id + 70, 'loop', 3.0 FROM embeddings WHERE vec_id % 35 = 0 AND vec_id + 70 < 500)"""
+EDGES = """e AS (SELECT vec_id AS source, vec_id + 1 AS target, 'local_continuity' AS edge_type, 1.0 AS weight FROM embeddings WHERE vec_id % 7 <> 6 AND vec_id + 1 IN (SELECT vec_id FROM embeddings)
+    UNION ALL SELECT vec_id, vec_id + 70, 'loop', 3.0 FROM embeddings WHERE vec_id % 35 = 0 AND vec_id + 70 IN (SELECT vec_id FROM embeddings))"""
 LOGS = """l AS (SELECT event_id AS batch_id, CASE WHEN event_type IN ('purchase', 'view') THEN 'added' WHEN event_type = 'click' THEN 'skipped_failed_validation'
     WHEN event_type = 'error' THEN 'skipped_alignment_failed' ELSE 'skipped_not_enough_neighbors' END AS status, value AS total_time_sec, 1 + user_id % 5 AS batch_size FROM events)"""
 MEMBERS = """m AS (SELECT vec_id // 8 AS batch, vec_id AS frame, vec_id % 8 AS pos, FALSE AS is_ref FROM embeddings
@@ -142,7 +142,7 @@ def a5(spark, sf):
     return points.robust_z(fx.points(spark, sf), "frame_no", "y").select("frame_no", "pt", R6("robust_z"))
 
 
-@query("a6_positive_outlier", f"WITH {INLIERS} SELECT frame_no, CAST(pt AS INT) AS pt, round(CASE WHEN count(*) OVER (PARTITION BY frame_no) < 2 THEN 0.0 ELSE greatest(0.0, CASE WHEN max(CASE WHEN mad < 1e-8 THEN 0.0 ELSE abs(0.6745 * (y - median) / mad) END) OVER (PARTITION BY frame_no) < 1e-12 THEN CASE WHEN stddev_pop(y) OVER (PARTITION BY frame_no) > 1e-12 THEN (y - avg(y) OVER (PARTITION BY frame_no)) / stddev_pop(y) OVER (PARTITION BY frame_no) ELSE 0.0 END ELSE 0.6745 * (y - median) / mad END) END, 6) AS outlier FROM i")
+@query("a6_positive_outlier", f"WITH {INLIERS} SELECT frame_no, CAST(pt AS INT) AS pt, round(CASE WHEN count(*) OVER (PARTITION BY frame_no) < 2 THEN 0.0 ELSE greatest(0.0, CASE WHEN max(CASE WHEN mad < 1e-8 THEN 0.0 ELSE abs(0.6745 * (y - median) / mad) END) OVER (PARTITION BY frame_no) < 1e-8 THEN CASE WHEN stddev_pop(y) OVER (PARTITION BY frame_no) > 1e-8 THEN (y - median) / stddev_pop(y) OVER (PARTITION BY frame_no) ELSE 0.0 END ELSE 0.6745 * (y - median) / mad END) END, 6) AS outlier FROM i")
 def a6(spark, sf):
     return points.positive_outlier(fx.points(spark, sf), "frame_no", "y").select("frame_no", "pt", R6("outlier"))
 
@@ -193,7 +193,7 @@ def w2(spark, sf):
     return posegraph.continuity(fx.frames(spark, sf), 0.2)
 
 
-@query("p21_edge_weight", f"WITH {LOGS} SELECT batch_id, round(greatest(0.1, least(5.0, sqrt(batch_size * 500 / 1000.0) * greatest(batch_size / 5.0, 0.1) / (1 + total_time_sec / 100))), 6) AS weight FROM l WHERE total_time_sec >= 0")
+@query("p21_edge_weight", f"WITH {LOGS} SELECT batch_id, round(greatest(0.1, least(5.0, least(3.0, greatest(0.5, sqrt(greatest(batch_size * 500, 1) / 1000.0))) * greatest(batch_size / 5.0, 0.1) / (1 + total_time_sec / 100))), 6) AS weight FROM l WHERE total_time_sec >= 0")
 def p21(spark, sf):
     d = fx.logs(spark, sf).where("total_time_sec >= 0")
     return d.select("batch_id", F.round(posegraph.edge_weight(F.col("batch_size") / 5.0, F.col("total_time_sec") / 100, F.col("batch_size") * 500), 6).alias("weight"))
@@ -224,7 +224,7 @@ def st12(spark, sf):
     e = fx.read(spark, sf, "embeddings").select(F.col("vec_id").alias("node"), F.element_at("embedding", 1).cast("double").alias("n"))
     nodes = e.select("node", (F.col("node") + F.col("n")).alias("x"), F.col("n").alias("y"), F.lit(0.0).alias("z"))
     edges = fx.edges(spark, sf).withColumn("dx", (F.col("target") - F.col("source")).cast("double")).withColumn("dy", F.lit(0.0)).withColumn("dz", F.lit(0.0))
-    return posegraph.optimise(nodes, edges)
+    return posegraph.optimise_positions(nodes, edges)
 
 
 @query("j3_match", f"WITH {POSES} SELECT i AS gt_index, CASE WHEN matched THEN i END AS pred_index, CASE WHEN matched THEN valid END AS valid FROM t")

@@ -98,3 +98,31 @@ def coverage(matched: DataFrame) -> DataFrame:
     n, found, ok = F.count("*"), F.count("pred_index"), F.count_if("valid")
     ratio = lambda a, b: F.round(F.when(b > 0, a / b), 6)
     return matched.agg(n.alias("n_gt"), found.alias("n_matched"), ok.alias("n_valid"), ratio(found, n).alias("matched_ratio"), ratio(ok, n).alias("valid_ratio"))
+
+
+def subset(true: DataFrame, frames: DataFrame) -> DataFrame:
+    """True poses whose base name or stem is that of a valid frame (frame_id, image_path, valid); frame ids count as stems."""
+    f = frames.where("valid")
+    names = f.select(base_name(F.col("image_path")).alias("name")).distinct()
+    stems = f.select(stem(F.col("image_path")).alias("name")).union(f.select("frame_id")).distinct()
+    t = true.withColumn("_base", base_name(F.col("image_name"))).withColumn("_stem", stem(F.col("image_name")))
+    t = t.join(names.select(F.col("name").alias("_base"), F.lit(True).alias("_named")), "_base", "left").join(stems.select(F.col("name").alias("_stem"), F.lit(True).alias("_stemmed")), "_stem", "left")
+    return t.where(F.coalesce("_named", F.lit(False)) | F.coalesce("_stemmed", F.lit(False))).select(*true.columns)
+
+
+def sampled_pairs(spark, items: int, most: int, seed: int = 0) -> DataFrame:
+    """(src_pos, dst_pos) of at most ``most`` different pairs of ``items`` positions. Pairs are numbered row by row; the sample
+    is the first ``most`` different numbers of a sequence of hashes of the seed, so it costs what it returns, not all pairs."""
+    total = items * (items - 1) // 2
+    if most <= 0 or most >= total:
+        drawn = spark.range(total).select(F.col("id").alias("k"))
+    else:
+        tries = spark.range(4 * most + 64)
+        h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string")).cast("binary")), 1, 15), 16, 10).cast("long")
+        drawn = tries.select("id", F.pmod(h, F.lit(total)).alias("k")).groupBy("k").agg(F.min("id").alias("id")).orderBy("id").limit(most)
+    n = 2 * items - 1
+    row = F.floor((n - F.sqrt(F.lit(float(n * n)) - 8 * F.col("k"))) * 0.5).cast("long")
+    start = lambda r: F.floor(r * (2 * items - r - 1) / 2).cast("long")
+    d = drawn.select("k", row.alias("r"))  # the root may be off by one where numbers are large
+    d = d.select("k", F.when(F.col("k") < start(F.col("r")), F.col("r") - 1).when(F.col("k") >= start(F.col("r") + 1), F.col("r") + 1).otherwise(F.col("r")).alias("src_pos"))
+    return d.select("src_pos", (F.col("src_pos") + 1 + F.col("k") - start(F.col("src_pos"))).alias("dst_pos"))

@@ -63,18 +63,48 @@ def robust_z(d: DataFrame, by: str, value: str) -> DataFrame:
 
 
 def positive_outlier(d: DataFrame, by: str, value: str) -> DataFrame:
-    """Positive part of the robust z; not finite: infinite; all about zero: the plain z with the population deviation;
-    fewer than two finite values: zero."""
+    """Positive part of the robust z; not finite: infinite; all about zero: the distance from the median in population
+    deviations; fewer than two finite values: zero."""
     ok = finite(F.col(value))
     z = robust_z(d.where(ok), by, value)
-    s = z.groupBy(by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), F.max(F.abs("robust_z")).alias("most"), F.count("*").alias("n"))
+    s = z.groupBy(by).agg(F.stddev_pop(value).alias("sd"), F.max(F.abs("robust_z")).alias("most"), F.count("*").alias("n"))
     z = z.join(s, by)
-    plain = F.when(F.col("sd") > 1e-12, (F.col(value) - F.col("mean")) / F.col("sd")).otherwise(0.0)
-    score = F.when(F.col("n") < 2, 0.0).otherwise(F.greatest(F.lit(0.0), F.when(F.col("most") < 1e-12, plain).otherwise(F.col("robust_z"))))
+    plain = F.when(F.col("sd") > 1e-8, (F.col(value) - F.col("median")) / F.col("sd")).otherwise(F.col("robust_z"))
+    score = F.when(F.col("n") < 2, 0.0).otherwise(F.greatest(F.lit(0.0), F.when(F.col("most") < 1e-8, plain).otherwise(F.col("robust_z"))))
     z = z.select(*d.columns, score.alias("outlier"))
     return z.unionByName(d.where(~ok).withColumn("outlier", F.lit(float("inf"))))
 
 
+def packed_keys(points: DataFrame, size: float) -> DataFrame:
+    """``points`` with key: the voxel's place within the bounds of all, packed into 64 bits; an error if they do not suffice."""
+    d = voxel_bounds(points, size)
+    need = lambda a: F.length(F.regexp_replace(F.bin(F.col(f"max_{a}") - F.col(f"min_{a}")), "^0(?=.)", "")).cast("int")
+    d = d.select(*(F.col(f"min_{a}").alias(f"_{a}") for a in "xyz"), need("x").alias("_bx"), need("y").alias("_by"), need("z").alias("_bz"))
+    total = F.col("_bx") + F.col("_by") + F.col("_bz")
+    d = d.withColumn("_ok", F.when(total > 64, F.raise_error(F.concat(F.lit("voxel keys need bits: "), total.cast("string"))).cast("boolean")).otherwise(True))
+    at = lambda a: voxel(a, size) - F.col(f"_{a}")
+    key = F.expr("1L") * 0
+    for a, shift in (("x", "_by + _bz"), ("y", "_bz"), ("z", "0")):
+        key = key.bitwiseOR(F.call_function("shiftleft", at(a), F.expr(shift)))
+    return points.join(F.broadcast(d)).where("_ok").withColumn("key", key).drop("_x", "_y", "_z", "_bx", "_by", "_bz", "_ok")
+
+
+def finite_count(points: DataFrame) -> DataFrame:
+    return points.where(finite(*(F.col(c) for c in "xyz"))).agg(F.count("*").alias("n"))
+
+
+def even_sample(points: DataFrame, most: int, order: tuple[str, ...] = ("frame_no", "pt"), block: str = "frame_no") -> DataFrame:
+    """At most ``most`` points, evenly over their order: those at the places floor(i (n - 1) / (most - 1)). Places are counted
+    in blocks with the counts of earlier blocks, so no task orders all points."""
+    sizes = points.groupBy(F.col(block).alias("_b")).agg(F.count("*").alias("_c"))
+    w = W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)  # one row a block
+    sizes = sizes.select("_b", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_before"), F.sum("_c").over(W.partitionBy(F.lit(0))).alias("_n"))
+    d = points.join(sizes, points[block] == sizes["_b"]).withColumn("_at", F.col("_before") + F.row_number().over(W.partitionBy(block).orderBy(*order)) - 1)
+    first = F.expr(f"(_at * {most - 1} + _n - 2) div (_n - 1)")  # the first sample at or after this place
+    taken = (F.col("_n") <= most) | (F.expr(f"({most - 1} > 0)") & (F.floor(first * (F.col("_n") - 1) / (most - 1)) == F.col("_at")))
+    return d.where(taken).select(*points.columns)
+
+
 def spacing(points: DataFrame) -> DataFrame:
     """Positive distances of points at adjacent pixels of a frame (right and below): frame_no, distance."""
     found = []

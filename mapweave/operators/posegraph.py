@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mapweave.functions.vectors import dot, finite, norm
+from mapweave.functions.transforms import relative, rotation_log
+from mapweave.functions.vectors import compose, dot, finite, minus, norm, rotate, transpose
+from mapweave.operators.online import steps
 from mapweave.operators.points import median
 
 
@@ -24,34 +26,68 @@ def batch_edges(members: DataFrame, loop_gap: int = 50) -> DataFrame:
     return cross.select("batch", "source", "target", "edge_type").unionByName(inner.select("batch", "source", "target", "edge_type"))
 
 
-def continuity(frames: DataFrame, least: float = 0.65, stream: Column | None = None) -> DataFrame:
+def continuity(frames: DataFrame, least: float = 0.65, block: int = 4096) -> DataFrame:
     """Each frame with its predecessor and their similarity; linked if alike enough."""
-    w = W.partitionBy(stream if stream is not None else F.floor(F.col("order_index") / 10**9)).orderBy("order_index")
-    d = frames.select(F.lag("order_index").over(w).alias("source"), F.col("order_index").alias("target"), F.lag("descriptor").over(w).alias("before"), "descriptor").where("source is not null")
-    s = F.round(dot(F.col("before"), F.col("descriptor")) / (norm(F.col("before")) * norm(F.col("descriptor"))), 6)
-    return d.select("source", "target", s.alias("similarity")).withColumn("linked", F.col("similarity") >= least)
+    d = steps(frames.select("order_index", "descriptor"), block)
+    s = F.round(dot(F.col("prev_descriptor"), F.col("descriptor")) / (norm(F.col("prev_descriptor")) * norm(F.col("descriptor"))), 6)
+    return d.select(F.col("prev_order_index").alias("source"), F.col("order_index").alias("target"), s.alias("similarity")).withColumn("linked", F.col("similarity") >= least)
 
 
 def edge_weight(ratio: Column, med: Column, n: Column, full: float = 1000.0) -> Column:
-    return F.greatest(F.lit(0.1), F.least(F.lit(5.0), F.sqrt(n / full) * F.greatest(ratio, F.lit(0.1)) / (1 + med)))
+    """Weight of an alignment with ``n`` correspondences, this share of inliers and this median residual."""
+    amount = F.least(F.lit(3.0), F.greatest(F.lit(0.5), F.sqrt(F.greatest(n, F.lit(1)) / full)))
+    return F.greatest(F.lit(0.1), F.least(F.lit(5.0), amount * F.greatest(ratio, F.lit(0.1)) / (1 + F.greatest(med, F.lit(0.0)))))
+
+
+def edge_residuals(nodes: DataFrame, edges: DataFrame, scale: DataFrame) -> DataFrame:
+    """Edges (source, target, edge_type, weight, rel_rot, rel_centre) with residual: rotation vector and scaled translation of
+    the difference between measured and present relative pose, times the root of the weight. ``scale`` is one row."""
+    end = lambda name, s: nodes.select(F.col("node").alias(name), F.col("rot").alias(f"{s}_rot"), F.col("centre").alias(f"{s}_centre"))
+    d = edges.join(end("source", "s"), "source").join(end("target", "t"), "target").join(F.broadcast(scale))
+    # Step by step: an array expression that is named several times in another would be computed as often.
+    rot, move = relative(F.col("s_rot"), F.col("s_centre"), F.col("t_rot"), F.col("t_centre"))
+    d = d.select("source", "target", "edge_type", "weight", "scale", "rel_rot", "rel_centre", rot.alias("p_rot"), move.alias("p_centre"))
+    back = transpose(F.col("rel_rot"))
+    d = d.select("source", "target", "edge_type", "weight", "scale", compose(back, F.col("p_rot")).alias("turn"), rotate(back, minus(F.col("p_centre"), F.col("rel_centre"))).alias("off"))
+    w = F.sqrt(F.greatest(F.col("weight"), F.lit(1e-6)))
+    r = F.concat(rotation_log(F.col("turn")), F.transform("off", lambda x: x / F.greatest(F.col("scale"), F.lit(1e-8))))
+    return d.select("source", "target", "edge_type", "weight", F.transform(r, lambda x: x * w).alias("residual"))
+
+
+def residual_stats(residuals: DataFrame) -> DataFrame:
+    """Mean, median and maximum of the sizes of all residual components, by edge type and over all (type "all")."""
+    d = residuals.select("edge_type", F.explode("residual").alias("r")).select(F.explode(F.array("edge_type", F.lit("all"))).alias("edge_type"), F.abs("r").alias("r"))
+    return d.groupBy("edge_type").agg(F.count("*").alias("n"), F.round(F.avg("r"), 5).alias("mean"), F.round(median(F.col("r")), 5).alias("median"), F.round(F.max("r"), 5).alias("max"))
+
+
+def debug_tables(edges: DataFrame, order: DataFrame, loop_gap: int = 50) -> DataFrame:
+    """Edges with frame_distance (null where an end has no place in the order: node, order_index) and is_loop."""
+    place = lambda end: order.select(F.col("node").alias(end), F.col("order_index").alias(f"{end}_at"))
+    d = edges.join(place("source"), "source", "left").join(place("target"), "target", "left").withColumn("frame_distance", F.abs(F.col("target_at") - F.col("source_at")))
+    loop = (F.col("edge_type") == "loop") | F.coalesce(F.col("frame_distance") >= loop_gap, F.lit(False))
+    return d.select("source", "target", "edge_type", "weight", "frame_distance", loop.alias("is_loop"))
 
 
 def usable_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges between two different known nodes."""
+    """Edges between two different known nodes, and with finite relative poses where they have rel_rot and rel_centre."""
+    for c in {"rel_rot", "rel_centre"} & set(edges.columns):
+        edges = edges.where(F.coalesce(F.forall(c, lambda x: finite(x)), F.lit(False)))
     for end in ("source", "target"):
         edges = edges.join(nodes.select(F.col("node").alias(end)), end, "left_semi")
     return edges.where("source <> target").select("source", "target", "edge_type", "weight")
 
 
 def edge_stats(edges: DataFrame) -> DataFrame:
+    """Count, distance of ids and weight by edge type (residuals: ``residual_stats``)."""
     gap = F.abs(F.col("target") - F.col("source")).cast("double")
     return edges.groupBy("edge_type").agg(F.count("*").alias("n"), F.round(F.avg(gap), 6).alias("mean_gap"), F.max(gap).alias("max_gap"), F.round(F.sum("weight"), 6).alias("weight"))
 
 
-def translation_scale(t: DataFrame) -> DataFrame:
+def translation_scale(t: DataFrame, digits: int | None = 6) -> DataFrame:
     """Median length above 1e-8 of finite translations (length), at least 1e-3; 1 without any."""
     d = t.where(finite(F.col("length")) & (F.col("length") > 1e-8)).agg(median(F.col("length")).alias("m"))
-    return d.select(F.round(F.coalesce(F.greatest("m", F.lit(1e-3)), F.lit(1.0)), 6).alias("scale"))
+    scale = F.coalesce(F.greatest("m", F.lit(1e-3)), F.lit(1.0))
+    return d.select((scale if digits is None else F.round(scale, digits)).alias("scale"))
 
 
 def anchors(edges: DataFrame, rounds: int = 64) -> DataFrame:
@@ -70,7 +106,7 @@ def anchors(edges: DataFrame, rounds: int = 64) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def optimise(nodes: DataFrame, edges: DataFrame, iterations: int = 15, huber: float = 1.0, prior: float = 1e6) -> DataFrame:
+def optimise_positions(nodes: DataFrame, edges: DataFrame, iterations: int = 15, huber: float = 1.0, prior: float = 1e6) -> DataFrame:
     """Positions (x, y, z) refined per component: weighted relative translations with Huber weights, the component's
     smallest node held. One group is one component; a component that outgrows a task must be cut before."""
     of = anchors(edges)

@@ -50,3 +50,21 @@ def triggers(logs: DataFrame, interval: int = 100) -> DataFrame:
     d = cumulative(logs).join(logs.select("batch_id", "batch_size"), "batch_id")
     step = lambda c: F.floor(c / interval)
     return d.where(step(F.col("frames_so_far")) > step(F.col("frames_so_far") - F.col("batch_size"))).select("batch_id", step(F.col("frames_so_far")).alias("trigger"))
+
+
+def nested_profile(logs: DataFrame, column: str, by: str = "status") -> DataFrame:
+    """Numbers of a JSON object, with keys "column.key", rolled up by group; values that are no finite numbers are left out."""
+    d = logs.select(by, F.explode(F.from_json(column, "map<string,string>")).alias("key", "text")).select(by, F.concat(F.lit(f"{column}."), "key").alias("key"), F.col("text").try_cast("double").alias("value"))
+    d = d.where(F.abs("value") < float("inf"))
+    r = lambda c: F.round(c, 4)
+    return d.groupBy(by, "key").agg(F.count("*").alias("n"), r(F.avg("value")).alias("mean"), r(F.min("value")).alias("min"), r(F.max("value")).alias("max"), r(F.sum("value")).alias("total"))
+
+
+def compute_time(logs: DataFrame, start: float = 0.0, block: int = 4096) -> DataFrame:
+    """Seconds from ``start`` up to and with each batch; negative and missing times count as none. Blocks as in ``cumulative``."""
+    t = F.greatest(F.lit(0.0), F.coalesce("total_time_sec", F.lit(0.0)))
+    d = logs.select("batch_id", t.alias("t"), F.floor(F.col("batch_id") / block).alias("block"))
+    w = W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    before = d.groupBy("block").agg(F.sum("t").alias("s")).select("block", F.coalesce(F.sum("s").over(w), F.lit(0.0)).alias("s0"))
+    own = F.sum("t").over(W.partitionBy("block").orderBy("batch_id").rowsBetween(W.unboundedPreceding, 0))
+    return d.withColumn("s", own).join(before, "block").select("batch_id", F.round(start + F.col("s0") + F.col("s"), 4).alias("seconds_so_far"))

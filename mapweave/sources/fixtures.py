@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-POINTS_SQL = """select l_orderkey % 400 as frame_no,
-    row_number() over (partition by l_orderkey % 400 order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) as pt,
+POINTS_SQL = """select cast(floor(l_orderkey / 64) as bigint) as frame_no,
+    row_number() over (partition by cast(floor(l_orderkey / 64) as bigint) order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) as pt,
     l_partkey % 128 as px_row, l_suppkey % 96 as px_col, l_quantity as x, l_extendedprice / 1000.0 as y, l_discount * 100.0 as z, 1.0 - l_tax * 10.0 as conf
     from lineitem"""
 
@@ -55,9 +55,32 @@ def poses(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "embeddings").select("vec_id")
-    near = d.where("vec_id % 7 <> 6 and vec_id < 499").select(F.col("vec_id").alias("source"), (F.col("vec_id") + 1).alias("target"), F.lit("local_continuity").alias("edge_type"), F.lit(1.0).alias("weight"))
-    loop = d.where("vec_id % 35 = 0 and vec_id + 70 < 500").select("vec_id", F.col("vec_id") + 70, F.lit("loop"), F.lit(3.0))
-    return near.union(loop)
+    v = F.col("vec_id")
+    near = d.where("vec_id % 7 <> 6").select(v.alias("source"), (v + 1).alias("target"), F.lit("local_continuity").alias("edge_type"), F.lit(1.0).alias("weight"))
+    loop = d.where("vec_id % 35 = 0").select("vec_id", v + 70, F.lit("loop"), F.lit(3.0))
+    return near.union(loop).join(d.select(v.alias("target")), "target", "left_semi").select("source", "target", "edge_type", "weight")
+
+
+def map_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Poses of the map (node, centre, rot): the true ones, moved a little and turned about z."""
+    from mapweave.functions.vectors import compose, quaternion_rotation
+
+    e = lambda i: F.element_at("embedding", i).cast("double")
+    a = 0.2 * e(11)
+    turn = F.array(F.cos(a), -F.sin(a), F.lit(0.0), F.sin(a), F.cos(a), *(F.lit(x) for x in (0.0, 0.0, 0.0, 1.0)))
+    d = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node"), F.array(*(100 * e(i) + 0.5 * e(i + 7) for i in (1, 2, 3))).alias("centre"), quaternion_rotation(e(4), e(5), e(6), e(7)).alias("true"), turn.alias("turn"))
+    return d.select("node", "centre", compose(F.col("turn"), F.col("true")).alias("rot"))
+
+
+def measured_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges with the relative poses (rel_rot, rel_centre) of the true ones."""
+    from mapweave.functions.transforms import relative
+
+    true = poses(spark, sf_dir)[0]
+    end = lambda name, s: true.select(F.col("gt_index").alias(name), F.col("rot").alias(f"{s}_rot"), F.col("centre").alias(f"{s}_centre"))
+    d = edges(spark, sf_dir).join(end("source", "s"), "source").join(end("target", "t"), "target")
+    rot, move = relative(F.col("s_rot"), F.col("s_centre"), F.col("t_rot"), F.col("t_centre"))
+    return d.select("source", "target", "edge_type", "weight", rot.alias("rel_rot"), move.alias("rel_centre"))
 
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,7 +77,7 @@ def test_similarity_is_recovered(spark):
 def test_graph_cost_falls(spark):
     n = spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, 1.2, 0.0, 0.0), (2, 2.4, 0.0, 0.0)], "node long, x double, y double, z double")
     e = spark.createDataFrame([(0, 1, 1.0, 0.0, 0.0, 1.0), (1, 2, 1.0, 0.0, 0.0, 1.0), (0, 2, 2.0, 0.0, 0.0, 3.0)], "source long, target long, dx double, dy double, dz double, weight double")
-    got = posegraph.optimise(n, e).orderBy("node").collect()
+    got = posegraph.optimise_positions(n, e).orderBy("node").collect()
     assert got[0].cost_after < got[0].cost_before and [round(r.x, 4) for r in got] == [0, 1, 2]
 
 
