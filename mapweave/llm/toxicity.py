@@ -59,10 +59,11 @@ def logits(m: Machine, terms: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return m.bias + _sums(m.w[at], bounds) + 0.5 * ((s * s).sum(1) - _sums((v * v).sum(1), bounds))
 
 
-def fit(sets: list[np.ndarray], y: np.ndarray, factors: int = 8, epochs: int = 12, least: int = 4, apart: float = 10.8, rate: float = 0.1, decay: float = 1e-5, shrink: float = 1e-3) -> Machine:
+def fit(sets: list[np.ndarray], y: np.ndarray, factors: int = 8, epochs: int = 12, least: int = 4, apart: float = 10.8, rate: float = 0.1, decay: float = 1e-5, shrink: float = 1e-3, patience: int = 3) -> Machine:
     """AdaGrad on the logistic loss, in mini-batches, twice: weights and factors of the terms that differ between the classes
     (chi-square above ``apart``), then, with weights and bias held, the factors of every term on what is left. The second
-    pass shrinks the factors of the other terms as groups by ``shrink`` a step, so that those without a pair end at zero."""
+    pass shrinks the factors of the other terms as groups by ``shrink`` a step, so that those without a pair end at zero;
+    it ends early after ``patience`` epochs in which the loss fell by less than a hundredth."""
     count = lambda some: np.bincount(np.concatenate([*some, np.zeros(0, np.int64)]), minlength=1 << BITS).astype(float)
     seen, toxic = count(sets), count([x for x, one in zip(sets, y, strict=True) if one])
     all_, ones = len(y), float(np.sum(y))
@@ -79,8 +80,11 @@ def fit(sets: list[np.ndarray], y: np.ndarray, factors: int = 8, epochs: int = 1
     sets = [place[x] for x in sets]
     sets = [x[x < len(known)] for x in sets]
     strong = [x[alone[x]] for x in sets]
+    best, stale = np.inf, 0
     for epoch in range(2 * epochs if len(y) else 0):
-        pairs = epoch >= epochs
+        pairs, loss = epoch >= epochs, 0.0
+        if stale == patience:
+            break
         some, order = sets if pairs else strong, random.permutation(len(y))
         for k in range(0, len(order), 64):
             pick = order[k : k + 64]
@@ -93,6 +97,7 @@ def fit(sets: list[np.ndarray], y: np.ndarray, factors: int = 8, epochs: int = 1
             s = _sums(va, bounds)
             z = bias + _sums(wh[at], bounds) + 0.5 * ((s * s).sum(1) - _sums((va * va).sum(1), bounds))
             d = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[pick]
+            loss -= np.log(np.maximum(1 - np.abs(d), 1e-12)).sum()
             each = np.repeat(d, n)
             pull = each[:, None] * (np.repeat(s, n, axis=0) - va)
             dv = np.stack([np.bincount(at, pull[:, j], len(here)) for j in range(factors)], 1) + decay * len(pick) * vh * 10
@@ -108,6 +113,9 @@ def fit(sets: list[np.ndarray], y: np.ndarray, factors: int = 8, epochs: int = 1
             gb += d.sum() ** 2
             w[here] -= rate * dw / np.sqrt(gw[here])
             bias -= rate * d.sum() / np.sqrt(gb)
+        if pairs:
+            stale = 0 if loss < 0.99 * best else stale + 1
+            best = min(best, loss)
     w[-1], v[-1] = 0, 0
     return Machine(place, w.astype(np.float32), v.astype(np.float32), bias)
 
@@ -119,7 +127,7 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, len(lists)), lists, batch.column(2).slice(a, len(lists))], names=["y", "terms", "of"])
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = 20_000) -> Machine:
+def train(docs: DataFrame, labels: DataFrame, rows: int = 10_000) -> Machine:
     """Fitted on at most ``rows`` labelled documents; their term ids, not their texts, come to the driver."""
     sample = labelled_sample(docs, labels, "toxic", rows).select("text", "y", "doc_id")
     got = sample.mapInArrow(_terms, "y int, terms array<int>, of long").toArrow().sort_by([("of", "ascending"), ("y", "ascending")])
