@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mapweave.functions.vectors import unit
+from mapweave.functions.vectors import finite, unit
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -20,11 +20,24 @@ def causal_knn(frames: DataFrame, k: int = 5, block: int = 1024, digits: int = 6
     """For each frame the ``k`` most similar earlier ones by cosine: query_id, ref_id, score, rank. Ties: smaller ref.
 
     Frames are cut into blocks of consecutive order; a task multiplies one block of queries with one of references and
-    keeps the best ``k`` of each query, so at most k rows a query and block reach the shuffle, and no side is broadcast."""
-    v = frames.select(F.col("order_index").alias("id"), unit(F.col("descriptor")).alias("v"), F.floor(F.col("order_index") / block).alias("own"))
-    top = v.groupBy().agg(F.max("own").alias("top"))  # one row
-    queries = v.select(F.col("own").alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), "own")).alias("r"), "id", "v")
-    refs = v.join(F.broadcast(top)).select(F.explode(F.sequence("own", "top")).alias("q2"), F.col("own").alias("r2"), F.col("id").alias("id2"), F.col("v").alias("v2"))
+    keeps the best ``k`` of each query, so at most k rows a query and block reach the shuffle, and no side is broadcast.
+    Frames without a descriptor, or with one that is not finite, are neither found nor asked for; descriptors of different
+    lengths are not compared."""
+    return earlier_knn(frames, frames, k, block, digits)
+
+
+def earlier_knn(asked: DataFrame, known: DataFrame, k: int = 5, block: int = 1024, digits: int = 6) -> DataFrame:
+    """``causal_knn`` of the frames ``asked`` among ``known``; of those, a block goes only to the blocks asked for."""
+
+    def blocks(frames: DataFrame) -> DataFrame:
+        ok = F.col("order_index").isNotNull() & F.coalesce(F.forall("descriptor", lambda x: finite(x)), F.lit(False))
+        d = frames.where(ok).select(F.col("order_index").alias("id"), unit(F.col("descriptor").cast("array<double>")).alias("v"))
+        return d.withColumn("own", F.floor(F.col("id") / block)).withColumn("n", F.size("v"))
+
+    queries, v = blocks(asked), blocks(known)
+    ends = queries.groupBy().agg(F.min("own").alias("low"), F.max("own").alias("top"))  # one row
+    queries = queries.select(F.col("own").alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), "own")).alias("r"), "n", "id", "v")
+    refs = v.join(F.broadcast(ends)).where("own <= top").select(F.explode(F.sequence(F.greatest("own", "low"), "top")).alias("q2"), F.col("own").alias("r2"), F.col("n").alias("n2"), F.col("id").alias("id2"), F.col("v").alias("v2"))
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
@@ -37,7 +50,7 @@ def causal_knn(frames: DataFrame, k: int = 5, block: int = 1024, digits: int = 6
         out = pd.DataFrame({"query_id": np.repeat(a.id.to_numpy(), top.shape[1]), "ref_id": b.id.to_numpy()[top].ravel(), "score": score.ravel()})
         return out[np.isfinite(out.score)]
 
-    found = queries.groupBy("q", "r").cogroup(refs.groupBy("q2", "r2")).applyInPandas(best, "query_id long, ref_id long, score double")
+    found = queries.groupBy("q", "r", "n").cogroup(refs.groupBy("q2", "r2", "n2")).applyInPandas(best, "query_id long, ref_id long, score double")
     return _best(found, k)
 
 

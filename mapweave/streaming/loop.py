@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from mapweave.functions.vectors import dot, unit
-from mapweave.operators.retrieval import neighbor_evidence
+from mapweave.functions.vectors import unit
+from mapweave.operators.retrieval import earlier_knn, neighbor_evidence
 
 STATE = "frame_id string, order_index long, descriptor array<double>, micro_batch long"
 LOG = "micro_batch long, status string, batch_size long, added_frames long"
@@ -35,11 +34,7 @@ def step(frames: DataFrame, micro_batch: int, folder: str, k: int = 5, least_nei
     elif known < start:
         status = "added"
     else:
-        a, b = fresh.select(F.col("order_index").alias("query_id"), F.col("descriptor").alias("v")), state.select(F.col("order_index").alias("ref_id"), F.col("descriptor").alias("w"))
-        pairs = a.join(b, F.col("ref_id") < F.col("query_id"))
-
-        near = pairs.select("query_id", "ref_id", F.round(dot(F.col("v"), F.col("w")), 6).alias("score"))
-        near = near.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "ref_id"))).where(F.col("rank") <= k)
+        near = earlier_knn(fresh, state, k)
         evidence = neighbor_evidence(near, fresh.select(F.col("order_index").alias("query_id"), F.lit(micro_batch).alias("batch")), k).checkpoint()
         evidence.write.mode("overwrite").parquet(f"{folder}/evidence/micro_batch={micro_batch}")
         status = "added" if evidence.count() >= least_neighbors else "skipped_not_enough_neighbors"

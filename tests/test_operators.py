@@ -24,6 +24,23 @@ def test_nearest_of_two(spark):
         assert got == [(1, 0, 1), (2, 0, 1), (2, 1, 2), (3, 0, 1), (3, 1, 2)]
 
 
+def test_nearest_without_usable_descriptors(spark):
+    rows = [(0, [1.0, 0.0]), (1, None), (2, [math.nan, 1.0]), (3, [1.0, None]), (4, [1.0, 0.0, 0.0]), (5, [0.0, 2.0]), (None, [1.0, 0.0]), (6, [])]
+    d = spark.createDataFrame(rows, "order_index long, descriptor array<double>")
+    for block in (2, 1024):
+        assert [(r.query_id, r.ref_id) for r in retrieval.causal_knn(d, 2, block=block).collect()] == [(5, 0)]
+    assert retrieval.causal_knn(d.limit(0), 2).count() == 0
+
+
+def test_nearest_among_known_frames(spark):
+    d = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").where("vec_id < 60").select(F.col("vec_id").alias("order_index"), F.col("embedding").alias("descriptor"))
+    asked, known = d.where("order_index >= 40"), d.where("order_index < 50")
+    got = {(r.query_id, r.ref_id) for r in retrieval.earlier_knn(asked, known, 3, block=16).collect()}
+    v = {r.order_index: np.array(r.descriptor) / np.linalg.norm(r.descriptor) for r in d.collect()}
+    want = {(q, r) for q in range(40, 60) for r in sorted((r for r in range(50) if r < q), key=lambda r: (-round(float(v[q] @ v[r]), 6), r))[:3]}
+    assert got == want
+
+
 def test_batches_close_for_three_reasons(spark):
     got = catalog.QUERIES["st2_dynamic_batches"](spark, "/root/testdata/sf0.01").collect()
     assert len(got) == 470 and {r.closed_by for r in got} == {"", "reached_max_batch_size", "next_frame_incompatible", "end_of_sequence"}
