@@ -10,7 +10,7 @@ import pyarrow as pa
 U = np.uint64
 PRIME = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
 INVERSE = pow(PRIME, -1, 1 << 64)
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18  # the temporaries of a slice, some dozens of bytes for each of its own, stay near the caches
 _powers: dict[int, np.ndarray] = {}
 
 

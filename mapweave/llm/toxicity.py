@@ -142,12 +142,10 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
     """``docs`` with the score (0 to 1) of each whole text in ``into``; only the text goes through Python."""
     sent = docs.sparkSession.sparkContext.broadcast(machine)
 
-    @F.pandas_udf("double")
-    def of(texts):
-        out = [logits(sent.value, terms, bounds) for _, terms, bounds in term_sets(pa.array(texts, pa.string(), from_pandas=True))]
-        import pandas as pd
-
-        return pd.Series(1 / (1 + np.exp(-np.clip(np.concatenate([*out, np.zeros(0)]), -30, 30))))
+    @F.arrow_udf("double")
+    def of(texts: pa.Array) -> pa.Array:
+        out = [logits(sent.value, terms, bounds) for _, terms, bounds in term_sets(texts)]
+        return pa.array(1 / (1 + np.exp(-np.clip(np.concatenate([*out, np.zeros(0)]), -30, 30))))
 
     return docs.withColumn(into, of(F.col(text_col).cast("string")))
 
