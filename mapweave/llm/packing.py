@@ -74,6 +74,24 @@ def _parts(text: str) -> Iterator[str]:
     yield text
 
 
+def plain_ids(text: str, path: str) -> np.ndarray:
+    """Ids of a text; the special token's string is text like any other."""
+    encode, _ = encoder(path)
+    return np.concatenate([np.array(encode(x), "<u4") for x in _parts(text)])
+
+
+def token_bytes(path: str) -> list[bytes]:
+    """The bytes of each token, by id; none for a special one."""
+    with open(path, encoding="utf-8") as f:
+        read = json.load(f)
+    of, special = _bytes_of_shown(), {x["id"] for x in read["added_tokens"]}
+    out = [b""] * (1 + max([*read["model"]["vocab"].values(), *special]))
+    for token, i in read["model"]["vocab"].items():
+        if i not in special:
+            out[i] = bytes(of[c] for c in token)
+    return out
+
+
 def token_ids(text: str, path: str) -> np.ndarray:
     """Ids of a text, then the end id."""
     encode, special = encoder(path)

@@ -1,4 +1,4 @@
-"""The queries of the ten operators, with production parameters, and their SQL where SQL can express them."""
+"""The queries of the thirteen operators, with production parameters, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact, licenses, lines, near, packing, pii, quality, sharding, toxicity
+from . import crosstoken, decontaminate, exact, licenses, lines, near, packing, pieces, pii, quality, sharding, toxicity, whitening
 from .training import held_out
 
-SHARDS, CAPACITY = 16, 1024
+SHARDS, CAPACITY, COMPONENTS = 16, 1024, 32
 #: The session setting that holds the key of the pseudonyms; without it, a key that only development may use.
 KEY_SETTING, DEVELOPMENT_KEY = "spark.mapweave.pseudonym.key", "development"
 
@@ -74,6 +74,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_crosstoken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosstoken.align(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(table(spark, sf_dir, "embeddings"), COMPONENTS)
+    return out.withColumnRenamed("id", "vec_id").withColumn("deviation", F.col("deviation").try_cast("long"))  # null where it is no long
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # at the top of the repository: ship it with the package
 
@@ -82,7 +95,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_decontaminate, op2_licenses, op3_line_dedup, op4_near_dedup, op5_shards, op6_pii, op7_packing, op8_exact_dedup, op9_toxicity, op10_quality, pipeline)
+    for f in (
+        op1_decontaminate, op2_licenses, op3_line_dedup, op4_near_dedup, op5_shards, op6_pii, op7_packing, op8_exact_dedup, op9_toxicity, op10_quality,
+        op11_crosstoken, op12_pieces, op13_whitening, pipeline,
+    )
 }
 
 _WORDS = r"""list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"""
