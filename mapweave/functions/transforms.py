@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from mapweave.functions.vectors import clipped, compose, finite, minus, norm, rotate, trace, transpose
+from mapweave.functions.vectors import clipped, compose, finite, let, minus, norm, rotate, trace, transpose
 
 
 @F.pandas_udf(ArrayType(DoubleType()))
@@ -48,13 +48,17 @@ def relative(rot_a: Column, centre_a: Column, rot_b: Column, centre_b: Column) -
 def rotation_log(r: Column) -> Column:
     """Rotation vector. For half turns, the axis is the longest column of (r + 1) / 2, of either sign."""
     g = lambda i: F.get(r, F.lit(i))
-    angle = F.acos(clipped((trace(r) - 1) / 2))
     skew = F.array(g(7) - g(5), g(2) - g(6), g(3) - g(1))
     columns = [F.array(*((g(3 * i + k) + (1 if i == k else 0)) / 2 for i in range(3))) for k in range(3)]
     most = F.greatest(g(0), g(4), g(8))
     axis = F.when(g(0) >= most, columns[0]).when(g(4) >= most, columns[1]).otherwise(columns[2])
-    generic = F.transform(skew, lambda x: x * (0.5 * angle / F.sin(angle)))
-    return F.when(angle < 1e-8, F.transform(skew, lambda x: 0.5 * x)).when(F.abs(F.sin(angle)) > 1e-6, generic).otherwise(F.transform(axis, lambda x: angle * x / F.greatest(norm(axis), F.lit(1e-12))))
+
+    def of(angle: Column) -> Column:
+        factor = F.when(angle < 1e-8, 0.5).otherwise(0.5 * angle / F.sin(angle))
+        half_turn = let(axis, lambda v: let(F.greatest(norm(v), F.lit(1e-12)), lambda n: F.transform(v, lambda x: angle * x / n)))
+        return F.when((angle < 1e-8) | (F.abs(F.sin(angle)) > 1e-6), let(factor, lambda f: F.transform(skew, lambda x: x * f))).otherwise(half_turn)
+
+    return let(F.acos(clipped((trace(r) - 1) / 2)), of)
 
 
 def turn_deg(r: Column) -> Column:

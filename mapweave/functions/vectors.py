@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,13 +16,18 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(value)`` with the value computed once; an expression that is named several times may be computed as often."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def unit(a: Column) -> Column:
     """L2-normalised; a zero vector stays as it is."""
-    return F.when(norm(a) > 0, F.transform(a, lambda x: x / norm(a))).otherwise(a)
+    return let(norm(a), lambda n: F.when(n > 0, F.transform(a, lambda x: x / n)).otherwise(a))
 
 
 def safe_unit(a: Column, least: float = 1e-8) -> Column:
-    return F.transform(a, lambda x: x / F.greatest(norm(a), F.lit(least)))
+    return let(F.greatest(norm(a), F.lit(least)), lambda n: F.transform(a, lambda x: x / n))
 
 
 def finite(*cols: Column) -> Column:
@@ -43,8 +50,9 @@ def clipped(x: Column) -> Column:
 
 def direction_angle_deg(a: Column, b: Column, least: float = 1e-12) -> Column:
     """Angle between two directions; null if either has no length."""
-    cos = dot(a, b) / (norm(a) * norm(b))
-    return F.when((norm(a) > least) & (norm(b) > least), F.degrees(F.acos(clipped(cos))))
+    lengths = F.array(norm(a), norm(b))
+    both = lambda n: F.when((n[0] > least) & (n[1] > least), F.degrees(F.acos(clipped(dot(a, b) / (n[0] * n[1])))))
+    return let(lengths, both)
 
 
 def quaternion_rotation(w: Column, x: Column, y: Column, z: Column) -> Column:

@@ -221,13 +221,20 @@ def a25(spark, sf):
 
 @query("st12_optimise")
 def st12(spark, sf):
-    e = fx.read(spark, sf, "embeddings").select(F.col("vec_id").alias("node"), F.element_at("embedding", 1).cast("double").alias("n"))
-    nodes = e.select("node", (F.col("node") + F.col("n")).alias("x"), F.col("n").alias("y"), F.lit(0.0).alias("z"))
-    edges = fx.edges(spark, sf).withColumn("dx", (F.col("target") - F.col("source")).cast("double")).withColumn("dy", F.lit(0.0)).withColumn("dz", F.lit(0.0))
-    return posegraph.optimise_positions(nodes, edges)
+    d = posegraph.optimise(fx.map_poses(spark, sf), fx.measured_edges(spark, sf), iterations=30)
+    return d.select("anchor", "node", *(F.get("centre", F.lit(i)).alias(c) for i, c in enumerate("xyz")), "rot", "cost_before", "cost_after")
 
 
-@query("j3_match", f"WITH {POSES} SELECT i AS gt_index, CASE WHEN matched THEN i END AS pred_index, CASE WHEN matched THEN valid END AS valid FROM t")
+#: The predictions' names and the lookup by name, then by stem or id, written from the rule and not from the operator.
+J3 = """g AS (SELECT vec_id AS gt_index, 'frame_' || lpad(CAST(vec_id AS VARCHAR), 6, '0') AS stem FROM embeddings),
+    p AS (SELECT vec_id AS pred_index, vec_id % 13 <> 0 AS valid, 'frame_' || lpad(CAST(vec_id AS VARCHAR), 6, '0') AS own, CASE WHEN vec_id % 3 = 0 THEN '.png' ELSE '.jpg' END AS suffix FROM embeddings WHERE vec_id % 11 <> 0),
+    q AS (SELECT pred_index, valid, suffix, CASE WHEN pred_index % 7 = 0 THEN CAST(pred_index AS VARCHAR) ELSE own END AS stem,
+        CASE WHEN pred_index % 7 = 0 OR pred_index % 5 = 0 THEN own ELSE 'id' || pred_index END AS id FROM p),
+    n AS (SELECT stem || suffix AS name, pred_index FROM q), s AS (SELECT stem, pred_index FROM q UNION SELECT id, pred_index FROM q),
+    r AS (SELECT gt_index, coalesce((SELECT min(pred_index) FROM n WHERE name = stem || '.jpg'), (SELECT min(pred_index) FROM s WHERE s.stem = g.stem)) AS pred_index FROM g)"""
+
+
+@query("j3_match", f"WITH {J3} SELECT gt_index, r.pred_index, valid FROM r LEFT JOIN q ON q.pred_index = r.pred_index")
 def j3(spark, sf):
     return matched(spark, sf).select("gt_index", "pred_index", "valid")
 

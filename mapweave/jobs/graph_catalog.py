@@ -225,7 +225,7 @@ OUTLIERS = f"""{SINGLE}, su AS (SELECT batch, ref, ok, unnest([1, 2, 3, 4, 5, 6]
 
 
 @query("st6_t6_f16_geometry_plan", f"""WITH {OUTLIERS}, k AS (SELECT *, NOT ok OR (NOT isinf(outlier) AND outlier >= 6) AS some_, greatest(0, least(2, count(*) OVER (PARTITION BY batch) - 3)) AS most_ FROM so),
-    w AS (SELECT *, bool_or(some_) OVER (PARTITION BY batch) AS any_, row_number() OVER (PARTITION BY batch ORDER BY ok, NOT some_, ref) AS first, row_number() OVER (PARTITION BY batch ORDER BY ok, CASE WHEN NOT isinf(outlier) THEN outlier END DESC NULLS LAST, ref) AS worst FROM k)
+    w AS (SELECT *, bool_or(some_) OVER (PARTITION BY batch) AS any_, row_number() OVER (PARTITION BY batch ORDER BY ok, NOT some_, ref) AS first, row_number() OVER (PARTITION BY batch ORDER BY ok, CASE WHEN isinf(outlier) THEN 0 ELSE 1 END, outlier DESC, ref) AS worst FROM k)
     SELECT batch, ref, round(outlier, 4) AS outlier, CASE WHEN any_ THEN some_ AND first <= most_ ELSE worst = 1 AND most_ > 0 END AS dropped, CASE WHEN most_ = 0 THEN 'not_enough_refs_to_drop' WHEN any_ THEN 'threshold' ELSE 'worst_ref_fallback' END AS mode FROM w""")
 def st6(spark, sf):
     return validation.geometry_plan(scored(spark, sf), 6.0).select("batch", "ref", r4(F.col("outlier"), "outlier"), "dropped", "mode")
@@ -236,7 +236,7 @@ def st6(spark, sf):
     s AS (SELECT batch, ref, least(1.0, greatest(-1.0, list_dot_product(v, a) / greatest(sqrt(list_dot_product(v, v)), 1e-8) / greatest(sqrt(list_dot_product(a, a)), 1e-8))) AS similarity FROM v JOIN a USING (batch) WHERE old),
     m AS (SELECT *, median(1 - similarity) OVER (PARTITION BY batch) AS med FROM s), d AS (SELECT *, median(abs(1 - similarity - med)) OVER (PARTITION BY batch) AS mad FROM m),
     k AS (SELECT *, similarity <= 0 OR (CASE WHEN mad < 1e-8 THEN 0 ELSE 0.6745 * (1 - similarity - med) / mad END) >= 2 AS some_, greatest(0, least(1, count(*) OVER (PARTITION BY batch) - 3)) AS most FROM d),
-    w AS (SELECT *, bool_or(some_) OVER (PARTITION BY batch) AS any_, row_number() OVER (PARTITION BY batch ORDER BY NOT some_, ref) AS first, row_number() OVER (PARTITION BY batch ORDER BY similarity, ref) AS worst FROM k)
+    w AS (SELECT *, bool_or(some_) OVER (PARTITION BY batch) AS any_, row_number() OVER (PARTITION BY batch ORDER BY NOT some_, similarity, ref) AS first, row_number() OVER (PARTITION BY batch ORDER BY similarity, ref) AS worst FROM k)
     SELECT batch, ref, round(similarity, 6) AS similarity, CASE WHEN any_ THEN some_ AND first <= most ELSE worst = 1 AND most > 0 END AS dropped FROM w""")
 def st7(spark, sf):
     d = fx.read(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 8).alias("batch"), F.col("vec_id").alias("ref"), F.col("embedding").cast("array<double>").alias("v"))
@@ -319,8 +319,7 @@ def j11(spark, sf):
 
 @query("j4_f14_u6_subset", "SELECT vec_id AS gt_index FROM embeddings WHERE vec_id % 11 <> 0 AND vec_id % 13 <> 0")
 def j4(spark, sf):
-    true, pred = fx.poses(spark, sf)
-    return evaluate.subset(true, pred.withColumn("frame_id", F.concat(F.lit("other"), "pred_index"))).select("gt_index")
+    return evaluate.subset(*fx.poses(spark, sf)).select("gt_index")
 
 
 @query("t10_j6_sampled_pairs", """WITH n AS (SELECT count(*) AS n FROM embeddings), t AS (SELECT i, CAST('0x' || substr(md5('7:' || i), 1, 15) AS BIGINT) % (n * (n - 1) // 2) AS k FROM n, range(4 * 1000 + 64) r(i)), d AS (SELECT k, min(i) AS i FROM t GROUP BY k ORDER BY i LIMIT 1000),

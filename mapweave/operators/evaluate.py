@@ -11,13 +11,23 @@ from mapweave.functions.vectors import angle_deg, base_name, compose, direction_
 from mapweave.operators.points import median
 
 
-def match(true: DataFrame, pred: DataFrame) -> DataFrame:
-    """True poses with the prediction of the same base name, else of the same stem; an ambiguous name that is used is an
-    error. No match: pred_index is null."""
-    key = lambda f, name: pred.groupBy(f(F.col("image_path")).alias(name)).agg(F.min("pred_index").alias(f"{name}_at"), F.count("*").alias(f"{name}_n"))
+def match(true: DataFrame, pred: DataFrame, by: str = "auto") -> DataFrame:
+    """True poses with the prediction of the same base name, else of the same stem; frame ids of predictions (column frame_id,
+    if there is one) count as stems. ``by`` name or stem looks at one of them alone. A name or stem that several predictions
+    have is an error where it is used. No match: pred_index is null."""
+    if by not in ("auto", "name", "stem"):
+        raise ValueError(f"unknown way to match: {by}")
+    keys = {"base": pred.select(base_name(F.col("image_path")).alias("base"), "pred_index")}
+    stems = pred.select(stem(F.col("image_path")).alias("stem"), "pred_index")
+    if "frame_id" in pred.columns:
+        stems = stems.union(pred.select("frame_id", "pred_index")).distinct()
+    keys["stem"] = stems
     t = true.withColumn("base", base_name(F.col("image_name"))).withColumn("stem", stem(F.col("image_name")))
-    t = t.join(key(base_name, "base"), "base", "left").join(key(stem, "stem"), "stem", "left")
-    n, at = F.coalesce("base_n", "stem_n"), F.coalesce("base_at", "stem_at")
+    for name, found in keys.items():
+        found = found.where(F.col(name) != "").groupBy(name).agg(F.min("pred_index").alias(f"{name}_at"), F.count("*").alias(f"{name}_n"))
+        t = t.join(found, name, "left")
+    used = {"auto": ("base", "stem"), "name": ("base",), "stem": ("stem",)}[by]
+    n, at = (F.coalesce(*(F.col(f"{name}_{c}") for name in used)) for c in ("n", "at"))
     checked = F.when(n > 1, F.raise_error(F.concat(F.lit("ambiguous name "), F.col("image_name"))).cast("long")).otherwise(at)
     t = t.select("gt_index", "image_name", "centre", "rot", checked.alias("pred_index"))
     p = pred.select(F.col("pred_index").alias("p"), F.col("centre").alias("p_centre"), F.col("rot").alias("p_rot"), "valid")

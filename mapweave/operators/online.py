@@ -10,6 +10,7 @@ from mapweave.functions.transforms import near_identity, turn_deg
 from mapweave.functions.vectors import angle_deg, compose, finite, minus, norm, rotate, trace, transpose
 from mapweave.operators.points import median
 from mapweave.operators.reporting import cumulative
+from mapweave.sources.tables import Tables
 
 
 def steps(frames: DataFrame, block: int = 4096) -> DataFrame:
@@ -32,17 +33,20 @@ def accepted_steps(d: DataFrame, multiplier: float = 4.0, trail: int = 200, roun
 
     The gate feeds on itself. It is solved by rounds over all streams at once: from a guess, medians of the rows accepted
     in it, then the gate again, until nothing changes. A round is right at least up to the first row that was wrong, so
-    the only fixed point is the sequential result; every round is a checkpoint."""
-    d = d.withColumn("accepted", F.col("able"))
+    the only fixed point is the sequential result; every round is a written table."""
+    tables = Tables(d.sparkSession)
+    d = tables.write(d.withColumn("accepted", F.coalesce("able", F.lit(False))), "gate")
     w = W.partitionBy("stream").orderBy("order_index")
     for _ in range(rounds):
         a = d.where("accepted").select("stream", F.row_number().over(w).alias("k"), F.percentile("step", F.lit(0.5)).over(w.rowsBetween(-(trail - 1), 0)).alias("usual"))
         k = F.coalesce(F.sum(F.col("accepted").cast("int")).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
         new = d.withColumn("k", k).join(a, ["stream", "k"], "left")
         ok = F.col("able") & (F.col("usual").isNull() | (F.col("step") <= F.greatest(F.lit(1e-6), F.col("usual") * multiplier)))
-        new = new.withColumn("was", F.col("accepted")).withColumn("accepted", F.coalesce(ok, F.lit(False))).drop("k", "usual").checkpoint()
+        new = new.withColumn("was", F.col("accepted")).withColumn("accepted", F.coalesce(ok, F.lit(False))).drop("k", "usual")
+        new = tables.write(new, "gate")
         d = new.drop("was")
         if new.where("was <> accepted").isEmpty():
+            tables.keep_only("gate")
             return d
     raise RuntimeError("the continuity gate did not settle")
 

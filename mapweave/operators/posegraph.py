@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,6 +10,7 @@ from mapweave.functions.transforms import relative, rotation_log
 from mapweave.functions.vectors import compose, dot, finite, minus, norm, rotate, transpose
 from mapweave.operators.online import steps
 from mapweave.operators.points import median
+from mapweave.sources.tables import Tables
 
 
 def batch_edges(members: DataFrame, loop_gap: int = 50) -> DataFrame:
@@ -91,55 +90,29 @@ def translation_scale(t: DataFrame, digits: int | None = 6) -> DataFrame:
 
 
 def anchors(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """(node, anchor): the smallest node of each component, by minimum labels with pointer jumping, checkpointed."""
-    both = edges.select(F.col("source").alias("a"), F.col("target").alias("b")).union(edges.select("target", "source")).distinct().checkpoint()
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")).checkpoint()
+    """(node, anchor): the smallest node of each component, by minimum labels with pointer jumping; each round is a
+    written table."""
+    tables = Tables(edges.sparkSession)
+    both = edges.select(F.col("source").alias("a"), F.col("target").alias("b")).union(edges.select("target", "source")).distinct()
+    both = tables.write(both, "both")
+    labels = tables.write(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "labels")
     for _ in range(rounds):
         low = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("low"))
         new = labels.join(low, labels["node"] == low["a"]).select("node", F.col("label").alias("old"), F.least("label", "low").alias("label"))
-        new = new.checkpoint()
-        of = new.select(F.col("node").alias("at"), F.col("label").alias("next"))
-        new = new.join(of, new["label"] == of["at"]).select("node", "old", F.col("next").alias("label")).checkpoint()
+        of = labels.select(F.col("node").alias("at"), F.col("label").alias("next"))
+        new = tables.write(new.join(of, new["label"] == of["at"]).select("node", "old", F.col("next").alias("label")), "labels")
         labels = new.select("node", "label")
         if new.where("old <> label").isEmpty():
+            tables.keep_only("labels")
             return labels.select("node", F.col("label").alias("anchor"))
     raise RuntimeError("components did not settle")
 
 
-def optimise_positions(nodes: DataFrame, edges: DataFrame, iterations: int = 15, huber: float = 1.0, prior: float = 1e6) -> DataFrame:
-    """Positions (x, y, z) refined per component: weighted relative translations with Huber weights, the component's
-    smallest node held. One group is one component; a component that outgrows a task must be cut before."""
-    of = anchors(edges)
-    n = nodes.join(of, "node").select("anchor", F.lit(0).alias("kind"), F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "x", "y", "z", F.lit(0.0).alias("w"))
-    e = edges.join(of, edges["source"] == of["node"]).select("anchor", F.lit(1).alias("kind"), F.col("source").alias("a"), F.col("target").alias("b"), F.col("dx").alias("x"), F.col("dy").alias("y"), F.col("dz").alias("z"), F.col("weight").alias("w"))
-
-    def solve(g: pd.DataFrame) -> pd.DataFrame:
-        node, edge = g[g.kind == 0].sort_values("a"), g[g.kind == 1].sort_values(["a", "b"])
-        at = {i: k for k, i in enumerate(node.a)}
-        i, j = edge.a.map(at).to_numpy(), edge.b.map(at).to_numpy()
-        p, m, w = node[["x", "y", "z"]].to_numpy(copy=True), edge[["x", "y", "z"]].to_numpy(), edge.w.to_numpy()
-        first = p[0].copy()
-
-        def cost(q: np.ndarray) -> tuple[float, np.ndarray]:
-            r = np.sqrt(w) * np.linalg.norm(q[j] - q[i] - m, axis=1)
-            return float(np.where(r <= huber, r * r / 2, huber * (r - huber / 2)).sum()), r
-
-        start, r = cost(p)
-        end = start
-        for _ in range(iterations):
-            k = w * np.where(r <= huber, 1.0, huber / np.maximum(r, 1e-12))
-            a, b = np.zeros((len(p), len(p))), np.zeros(p.shape)
-            np.add.at(a, (i, i), k), np.add.at(a, (j, j), k), np.add.at(a, (i, j), -k), np.add.at(a, (j, i), -k)
-            np.add.at(b, j, k[:, None] * m), np.add.at(b, i, -k[:, None] * m)
-            a[0, 0] += prior
-            b[0] += prior * first
-            q = np.linalg.solve(a + 1e-12 * np.eye(len(p)), b)
-            now, s = cost(q)
-            if not now <= end + 1e-9:
-                break
-            done, p, r, end = end - now < 1e-12, q, s, now
-            if done:
-                break
-        return pd.DataFrame({"anchor": g.anchor.iloc[0], "node": node.a, "x": p[:, 0], "y": p[:, 1], "z": p[:, 2], "cost_before": start, "cost_after": end})
-
-    return n.unionByName(e).groupBy("anchor").applyInPandas(solve, "anchor long, node long, x double, y double, z double, cost_before double, cost_after double")
+def optimise(nodes: DataFrame, edges: DataFrame, **options) -> DataFrame:
+    """Optimised poses (anchor, node, centre, rot) of the nodes that have usable edges, with cost_before and cost_after of all:
+    see ``pose_optimizer``, which also says how the run went. Edges are those of ``edge_residuals``."""
+    from mapweave.operators.pose_optimizer import optimise as run
+
+    poses, summary = run(nodes, edges, **options)
+    costs = (F.lit(float(summary[f"{c}_cost"])).alias(name) for c, name in (("initial", "cost_before"), ("final", "cost_after")))
+    return poses.join(anchors(edges), "node").select("anchor", "node", "centre", "rot", *costs)

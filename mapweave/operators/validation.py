@@ -56,14 +56,16 @@ def outlier_scores(scores: DataFrame) -> DataFrame:
     return positive_outlier(d, "of", "value").groupBy("batch", "ref", "ok").agg(F.sum("outlier").alias("outlier"))
 
 
-def drop_plan(scores: DataFrame, candidate: Column, badness: Column, failed: Column, max_drop: int = 2, min_refs: int = 3) -> DataFrame:
-    """References (batch, ref, ...) with dropped and mode: failed ones first, then candidates, in order of ref, up to
-    ``max_drop`` and so that ``min_refs`` stay; without any, the worst one."""
+def drop_plan(scores: DataFrame, candidate: Column, badness: Column, failed: Column, max_drop: int = 2, min_refs: int = 3, worst_first: bool = False) -> DataFrame:
+    """References (batch, ref, ...) with dropped and mode: failed ones first, then candidates, in order of ref or, with
+    ``worst_first``, of falling badness, up to ``max_drop`` and so that ``min_refs`` stay; without any, the worst one, a badness
+    that is not finite before all others. Ties: smaller ref."""
     by = W.partitionBy("batch")
     d = scores.withColumn("_failed", failed).withColumn("_some", failed | F.coalesce(candidate, F.lit(False)))
     d = d.withColumn("_most", F.greatest(F.lit(0), F.least(F.lit(max_drop), F.count("*").over(by) - min_refs)))
-    first = F.row_number().over(by.orderBy(F.desc("_failed"), F.desc("_some"), "ref"))
-    worst = F.row_number().over(by.orderBy(F.desc("_failed"), F.desc_nulls_last(F.when(finite(badness), badness)), "ref"))
+    fall = (F.asc(F.when(~finite(badness), 0).otherwise(1)), F.desc(badness), "ref")
+    first = F.row_number().over(by.orderBy(F.desc("_failed"), F.desc("_some"), *(fall if worst_first else ["ref"])))
+    worst = F.row_number().over(by.orderBy(F.desc("_failed"), *fall))
     some = F.max("_some").over(by)
     d = d.withColumn("dropped", F.when(some, F.col("_some") & (first <= F.col("_most"))).otherwise((worst == 1) & (F.col("_most") > 0)))
     mode = F.when(F.col("_most") == 0, "not_enough_refs_to_drop").when(some, "threshold").otherwise("worst_ref_fallback")
@@ -82,4 +84,4 @@ def similarity_plan(refs: DataFrame, threshold: float = 2.0, least: float = 0.0,
     from mapweave.operators.points import robust_z
 
     d = robust_z(refs.withColumn("distance", 1 - F.col("similarity")), "batch", "distance").select("batch", "ref", "similarity", "distance", "robust_z")
-    return drop_plan(d, (F.col("robust_z") >= threshold) | (F.col("similarity") <= least), F.col("distance"), F.lit(False), **kw)
+    return drop_plan(d, (F.col("robust_z") >= threshold) | (F.col("similarity") <= least), F.col("distance"), F.lit(False), worst_first=True, **kw)

@@ -37,7 +37,8 @@ def correspondences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def poses(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(true, predicted): image name, centre and rotation (row-major) of every frame."""
+    """(true, predicted): image name, centre and rotation (row-major) of every frame. Every seventh prediction is known by its
+    frame id alone; some others have an id that equals their stem."""
     from mapweave.functions.vectors import quaternion_rotation
 
     e = lambda i: F.element_at("embedding", i).cast("double")
@@ -46,9 +47,12 @@ def poses(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     name = F.concat(F.lit("strip/frame_"), F.lpad(F.col("vec_id").cast("string"), 6, "0"))
     true = d.select(F.col("vec_id").alias("gt_index"), F.concat(name, F.lit(".jpg")).alias("image_name"), F.array(*(100 * e(i) for i in (1, 2, 3))).alias("centre"), rot)
     at = F.array(*((100 * e(i) - i) / 2 + 0.01 * e(i + 7) for i in (1, 2, 3)))
+    v = F.col("vec_id")
+    suffix = F.when(v % 3 == 0, ".png").otherwise(".jpg")
     pred = d.where("vec_id % 11 <> 0").select(
-        F.col("vec_id").alias("pred_index"), F.concat(name, F.when(F.col("vec_id") % 3 == 0, ".png").otherwise(".jpg")).alias("image_path"),
-        at.alias("centre"), rot, (F.col("vec_id") % 13 != 0).alias("valid"),
+        v.alias("pred_index"), F.when(v % 7 == 0, F.concat(F.lit("other/"), v.cast("string"), suffix)).otherwise(F.concat(name, suffix)).alias("image_path"),
+        F.when((v % 7 == 0) | (v % 5 == 0), F.element_at(F.split(name, "/"), 2)).otherwise(F.concat(F.lit("id"), v.cast("string"))).alias("frame_id"),
+        at.alias("centre"), rot, (v % 13 != 0).alias("valid"),
     )
     return true, pred
 

@@ -64,3 +64,19 @@ def test_merge_moves_only_what_changed(spark):
     got = online.merge(at(0.0, 1.0, 7.0), at(0.0, 1.0), at(0.0, 1.5)).orderBy("node").collect()
     assert [(r.opt_centre[0], r.centre[0], r.updated) for r in got] == [(0, 0, False), (1.5, 1, True), (7, 7, False)]
     assert [r.centre[0] for r in online.overlay(at(0.0, 1.0), at(0.0, 1.25)).orderBy("node").collect()] == [0, 1.25]
+
+
+def planned(spark, values, plan, **kw):
+    d = spark.createDataFrame([(1, i, *v) for i, v in enumerate(values)], "batch long, ref long, value double, failed boolean")
+    return sorted((r.ref, r["mode"]) for r in plan(d, **kw).where("dropped").collect())
+
+
+def test_which_references_a_retry_drops(spark):
+    bad = lambda d, limit, **kw: validation.drop_plan(d, (F.col("value") >= limit) & V.finite(F.col("value")), F.col("value"), F.col("failed"), **kw)
+    geometry = [(1.0, False), (float("inf"), False), (1.5, False), (0.5, False)]
+    assert planned(spark, geometry, bad, limit=9.0) == [(1, "worst_ref_fallback")]  # not finite before all others
+    assert planned(spark, [(1.0, False), (3.0, False), (9.0, False), (0.5, False)], bad, limit=2.0, max_drop=1) == [(1, "threshold")]  # in order of ref
+    assert planned(spark, [(1.0, False), (0.0, False), (9.0, False), (0.5, True)], bad, limit=2.0, max_drop=1) == [(3, "threshold")]
+    alike = spark.createDataFrame([(1, i, s) for i, s in enumerate((0.0, -0.9, -0.95, 0.5))], "batch long, ref long, similarity double")
+    got = validation.similarity_plan(alike, max_drop=1).where("dropped").collect()
+    assert [(r.ref, r["mode"]) for r in got] == [(2, "threshold")]  # the farthest candidate, not the first
