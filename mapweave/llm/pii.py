@@ -13,7 +13,7 @@ phone       +country, or 10 digits in usual grouping    the last seven digits
 ip          four numbers up to 255                      all 32 bits
 date        a calendar date of 1800-2199                the day among those 400 years (146097 = 189 x 773)
 email       local part, domain                          letters and digits by a keyed hash; the last label stays
-secret      key ids, bearer and web tokens, key=value   letters and digits by a keyed hash of the whole value
+secret      tokens, key=value, passwords in addresses   letters and digits by a keyed hash of the whole value
 ==========  ==========================================  =====================================================
 
 The round function and the hashes are HMAC-SHA-256. E-mails and secrets are not numbers; they get a keyed hash in their
@@ -43,9 +43,9 @@ SSN = (898, 99 * 9999)
 _NAMES = "password|passwd|secret|token|api[_-]?key"
 #: Kinds in the order in which their patterns are tried at a place.
 PATTERNS = {
-    "assigned": r"(?<=[=\"])(?<=password=|token = \"|api_key=|secret=)[^\s\"']{6,}"
-    rf"|(?<=[:= \"'])(?<=[:=][\"' ]{{0,3}})(?<=(?i:{_NAMES})[\"']?\s{{0,2}}[:=]\s{{0,2}}[\"']?)(?=[^\s\"']*\d)[^\s\"']{{6,}}",
-    "secret": r"(?:AKIA|ASIA)[A-Z0-9]{16}|(?:gh[pousr]_|sk-)[A-Za-z0-9]{20,}|eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{5,}|(?<=[Bb]earer )[A-Za-z0-9._~+/=-]{16,}",
+    "assigned": rf"(?<=[:= \"'])(?<=[:=][\"' ]{{0,3}})(?:(?<=(?i:{_NAMES})[\"']?\s{{0,2}}=\s{{0,2}}[\"']?)(?!=)|(?<=(?i:{_NAMES})[\"']?\s{{0,2}}:\s{{0,2}}[\"']?)(?=[^\s\"']*\d))[^\s\"']{{6,}}",
+    "secret": r"(?:AKIA|ASIA)[A-Z0-9]{16}|(?:gh[pousr]_|glpat-|sk-)[A-Za-z0-9]{20,}|xox[abeoprs]-[A-Za-z0-9-]{6,}|eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{5,}|(?<=[Bb]earer )[A-Za-z0-9._~+/=-]{16,}"
+    r"|(?<=:)(?<=://[^\s/:@]{1,64}:)[^\s/@]{3,}(?=@)",
     "email": r"[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.]?\d)",
@@ -58,7 +58,7 @@ RUN = r"\d[\d -]{11,}\d"
 CARD_GROUPS = r"^(?:1[3-9]|4-6-[45]|4-4-4-[1-4]|4-4-4-4-[1-3])$"
 
 #: What every match of PATTERNS and RUN holds, with what is before it: an @, a name or start of a secret, or two digits.
-GATE = rf"@|(?i:{_NAMES})|AKIA|ASIA|gh[pousr]_|sk-|eyJ|earer |\d[ .-]?\d"
+GATE = rf"@|(?i:{_NAMES})|AKIA|ASIA|gh[pousr]_|glpat-|sk-|xox[abeoprs]-|eyJ|earer |\d[ .-]?\d"
 
 
 def keyed(key: str, kind: str, *parts: Column) -> Column:
