@@ -346,3 +346,49 @@ def a23(spark, sf):
 def j10(spark, sf):
     p = fx.map_poses(spark, sf).select(F.col("node").alias("frame"), F.round(F.get("centre", F.lit(0)), 6).alias("x"))
     return members(spark, sf).join(p, "frame").select("batch", "frame", "is_ref", "x")
+
+
+#: Frames without those whose number leaves 4 by 9, in batches of 8; an edge is found in the batch of its later end.
+RUNS = f"""{EDGES}, fr AS (SELECT vec_id AS node, vec_id // 8 AS batch FROM embeddings WHERE vec_id % 9 <> 4),
+    fb AS (SELECT batch, count(*) AS size, sum(count(*)) OVER (ORDER BY batch) AS known FROM fr GROUP BY batch),
+    fl AS (SELECT greatest(source, target) // 8 AS batch, count(*) AS n FROM e WHERE edge_type = 'loop' GROUP BY ALL),
+    fe AS (SELECT greatest(source, target) // 8 AS batch, count(*) AS n FROM e WHERE source IN (SELECT node FROM fr) AND target IN (SELECT node FROM fr) GROUP BY ALL),
+    ft AS (SELECT fb.batch, size, known, sum(coalesce(fl.n, 0)) OVER w AS loops, sum(coalesce(fe.n, 0)) OVER w AS edges FROM fb LEFT JOIN fl USING (batch) LEFT JOIN fe USING (batch) WINDOW w AS (ORDER BY fb.batch)),
+    fc AS (SELECT *, known // 200 AS check_index, loops - coalesce(lag(loops) OVER (ORDER BY batch), 0) AS new_loops FROM ft WHERE known // 200 > (known - size) // 200),
+    fs AS (SELECT *, CASE WHEN new_loops < 1 THEN 'no_new_loop_edges' WHEN edges < 300 THEN 'not_enough_edges' END AS reason FROM fc)"""
+
+
+def runs(spark, sf):
+    """Chained runs whose optimiser moves every frame half way to its true place: what the chain does, not what it finds."""
+    from mapweave.operators.pose_runs import chained_runs
+
+    m = fx.map_poses(spark, sf).where("node % 9 <> 4")
+    frames = m.select("node", F.col("node").alias("order_index"), F.floor(F.col("node") / 8).alias("batch_id"), "centre", "rot")
+    batches = frames.groupBy("batch_id").agg(F.count("*").alias("batch_size"))
+    edges = fx.edges(spark, sf).withColumn("batch_id", F.floor(F.greatest("source", "target") / 8))
+    true = fx.poses(spark, sf)[0].select(F.col("gt_index").alias("node"), F.col("centre").alias("true"))
+
+    def half_way(nodes, edges):
+        d = nodes.join(true, "node").select("node", F.zip_with("centre", "true", lambda a, b: (a + b) / 2).alias("centre"), "rot")
+        return d, {"success": True, "initial_cost": 2.0, "final_cost": 1.0}
+
+    return chained_runs(frames, batches, edges, half_way, interval=200, min_edges=300)
+
+
+@query("st10_st11_chained_map", f"""WITH {POSE}, {RUNS}, k AS (SELECT node, count(fs.batch) AS k FROM fr LEFT JOIN fs ON fs.batch >= fr.batch AND fs.reason IS NULL GROUP BY node)
+    SELECT node, round(C0 + (D0 - C0) / 2 ** (k + 1), 6) AS x, round(D0, 6) AS map_x FROM pose JOIN k USING (node)""")
+def st10(spark, sf):
+    x = lambda c, name: F.round(F.get(c, F.lit(0)), 6).alias(name)
+    return runs(spark, sf)[1].select("node", x("opt_centre", "x"), x("centre", "map_x"))
+
+
+@query("st11_f11_run_events", f"""WITH {RUNS}, al AS (SELECT count(*) AS n FROM fr),
+    on_ AS (SELECT 'online' AS phase, check_index, CASE WHEN reason IS NULL THEN 'pose_graph_online_scheduled' ELSE 'pose_graph_online_skipped' END AS event, reason, known AS frame_count, known AS num_snapshot_frames,
+            edges AS num_edges, new_loops AS new_loop_edges, NULL AS optimized_frame_count, NULL AS updated_frame_count FROM fs),
+    mg AS (SELECT 'online', check_index, 'pose_graph_merged', NULL, n, known, edges, new_loops, known, known FROM fs, al WHERE reason IS NULL),
+    fi AS (SELECT 'final', NULL, 'pose_graph_merged', NULL, n, n, (SELECT sum(n) FROM fe), (SELECT count(*) FROM e WHERE edge_type = 'loop' AND source IN (SELECT node FROM fr) AND target IN (SELECT node FROM fr)), n, n FROM al)
+    SELECT phase, CAST(check_index AS BIGINT) AS check_index, event, reason, CAST(frame_count AS BIGINT) AS frame_count, CAST(num_snapshot_frames AS BIGINT) AS num_snapshot_frames, CAST(num_edges AS BIGINT) AS num_edges,
+        CAST(new_loop_edges AS BIGINT) AS new_loop_edges, CAST(optimized_frame_count AS BIGINT) AS optimized_frame_count, CAST(updated_frame_count AS BIGINT) AS updated_frame_count
+    FROM (SELECT * FROM on_ UNION ALL SELECT * FROM mg UNION ALL SELECT * FROM fi)""")
+def st11(spark, sf):
+    return runs(spark, sf)[0].select("phase", "check_index", "event", "reason", "frame_count", "num_snapshot_frames", "num_edges", "new_loop_edges", "optimized_frame_count", "updated_frame_count")

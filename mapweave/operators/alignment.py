@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mapweave.functions.vectors import finite
-
-FIT = "batch long, scale double, rotation array<double>, translation array<double>, n long, mean_residual double, median_residual double, max_residual double"
-
+from mapweave.functions.vectors import finite, minus, norm, rotate
+from mapweave.operators.medians import exact_median
+from mapweave.sources.tables import Tables
 
 def match_points(local: DataFrame, stored: DataFrame, least: float = 0.5, geometric: float = 0.5) -> DataFrame:
     """Points of the same frame and pixel index in both tables, confident on both sides; weights sum to one a batch."""
@@ -23,14 +22,15 @@ def match_points(local: DataFrame, stored: DataFrame, least: float = 0.5, geomet
     return d.join(total, "batch").withColumn("w", F.col("raw") / F.col("total"))
 
 
-def moments(d: DataFrame) -> DataFrame:
-    """The 18 weighted sums that determine a similarity fit, one row a batch, summed before the shuffle."""
+def moments(d: DataFrame, *more: Column) -> DataFrame:
+    """The 18 weighted sums that determine a similarity fit, one row a batch, summed before the shuffle; and
+    ``more`` sums."""
     w = F.col("w")
     s, t = ("sx", "sy", "sz"), ("tx", "ty", "tz")
     sums = [F.sum(w).alias("m_w"), *(F.sum(w * F.col(c)).alias(f"m_{c}") for c in s + t)]
     sums += [F.sum(w * sum((F.col(c) ** 2 for c in side), F.lit(0.0))).alias(name) for side, name in ((s, "m_ss"), (t, "m_tt"))]
     sums += [F.sum(w * F.col(a) * F.col(b)).alias(f"m_{a}{b}") for a in t for b in s]
-    return d.groupBy("batch").agg(*sums)
+    return d.groupBy("batch").agg(*sums, *more)
 
 
 def solve(source: np.ndarray, target: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
@@ -44,25 +44,67 @@ def solve(source: np.ndarray, target: np.ndarray, w: np.ndarray) -> tuple[float,
     return scale, r, mt - scale * r @ ms
 
 
-def robust_fit(d: DataFrame, rounds: int = 20, delta: float = 0.1, tolerance: float = 1e-9) -> DataFrame:
-    """Huber-reweighted similarity of each batch (a batch has a bounded number of correspondences). On convergence the fit
-    before the last one is returned."""
-
-    def fit(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("pt")
-        s, t, w0 = g[["sx", "sy", "sz"]].to_numpy(), g[["tx", "ty", "tz"]].to_numpy(), np.maximum(g.w.to_numpy(), 0)
-        best, last = solve(s, t, w0 + 1e-300), np.inf
-        for _ in range(rounds):
-            r = np.linalg.norm(best[0] * s @ best[1].T + best[2] - t, axis=1)
-            cost = float(w0 @ np.where(r <= delta, r * r / 2, delta * (r - delta / 2)))
-            new = solve(s, t, w0 * np.where(r <= delta, 1.0, delta / np.maximum(r, 1e-12)) + 1e-300)
-            if abs(last - cost) < tolerance * max(1.0, cost):
-                break
-            best, last = new, cost
-        r = np.linalg.norm(best[0] * s @ best[1].T + best[2] - t, axis=1)
-        return pd.DataFrame([(g.batch.iloc[0], best[0], best[1].ravel(), best[2], len(g), r.mean(), np.median(r), r.max())], columns=[c.split()[0] for c in FIT.split(", ")])
-
-    return d.groupBy("batch").applyInPandas(fit, FIT)
+def _solve_rows(batches):
+    """Fits from sums of coordinates about a batch's offsets, a row a batch."""
+    s, t = ("sx", "sy", "sz"), ("tx", "ty", "tz")
+    for g in batches:
+        out = []
+        for r in g.to_dict("records"):
+            w = r["m_w"]
+            ms, mt = np.array([r[f"m_{c}"] for c in s]) / w, np.array([r[f"m_{c}"] for c in t]) / w
+            cov = np.array([[r[f"m_{a}{b}"] for b in s] for a in t]) / w - np.outer(mt, ms)
+            u, _, vt = np.linalg.svd(cov)
+            rot = u @ np.diag([1, 1, np.sign(np.linalg.det(u @ vt)) or 1]) @ vt
+            scale = float(np.sqrt(max(r["m_tt"] / w - mt @ mt, 0.0) / max(r["m_ss"] / w - ms @ ms, 1e-24)))
+            out.append((r["batch"], scale, rot.ravel(), mt - scale * rot @ ms))
+        yield pd.DataFrame(out, columns=["batch", "scale", "rotation", "translation"])
+
+
+def robust_fit(d: DataFrame, rounds: int = 20, delta: float = 0.1, tolerance: float = 1e-9, few: int = 100_000) -> DataFrame:
+    """Huber-reweighted similarity of each batch, for batches of any size. Each round sums weighted moments, before the shuffle,
+    with the weights that the batch's fit gives, and solves a 3 x 3 problem a batch; batches settle one by one, and on
+    convergence the fit before the last one is returned. Rows of weight 0 or less count only in the residuals. Beside the fit:
+    the number of correspondences, their mean weight, and the residuals' mean, exact median and maximum."""
+    tables = Tables(d.sparkSession)
+    axes = ("sx", "sy", "sz", "tx", "ty", "tz")
+    w0 = F.greatest(F.col("w").cast("double"), F.lit(0.0)) + 1e-300
+    means = d.groupBy("batch").agg(*(F.avg(c).alias(f"o_{c}") for c in axes), F.count("*").alias("n"), F.avg("w").alias("mean_weight"))
+    means = tables.write(means, "means")
+    small = means.count() <= few
+    beside = lambda t: F.broadcast(t) if small else t  # noqa: E731  (a row a batch, counted)
+    near = d.join(beside(means.select("batch", *(f"o_{c}" for c in axes))), "batch").select("batch", w0.alias("w"), *((F.col(c) - F.col(f"o_{c}")).alias(c) for c in axes))
+    fit_schema = "batch {0}, scale double, rotation array<double>, translation array<double>".format(d.schema["batch"].dataType.simpleString())
+    fits = moments(near).mapInPandas(_solve_rows, fit_schema)
+    state = tables.write(fits.select("*", F.lit(None).cast("double").alias("last"), F.lit(False).alias("done")), "fits")
+
+    def _off() -> Column:
+        moved = F.zip_with(rotate(F.col("rotation"), F.array("sx", "sy", "sz")), "translation", lambda a, b: F.col("scale") * a + b)
+        return minus(moved, F.array("tx", "ty", "tz"))
+
+    for _ in range(rounds):
+        open_ = state.where("not done")
+        if open_.isEmpty():
+            break
+        at = near.join(beside(open_.select("batch", "scale", "rotation", "translation")), "batch").select("batch", "w", *axes, norm(_off()).alias("r"))
+        loss = F.when(F.col("r") <= delta, F.col("r") * F.col("r") / 2).otherwise(delta * (F.col("r") - delta / 2))
+        weighted = at.withColumn("loss", F.col("w") * loss).withColumn("w", F.col("w") * F.when(F.col("r") <= delta, 1.0).otherwise(delta / F.greatest("r", F.lit(1e-12))) + 1e-300)
+        sums = moments(weighted, F.sum("loss").alias("m_loss"))
+        sums = tables.write(sums, "sums")
+        new = sums.mapInPandas(_solve_rows, fit_schema).select("batch", *(F.col(c).alias(f"n_{c}") for c in ("scale", "rotation", "translation")))
+        s = state.join(new.join(sums.select("batch", "m_loss"), "batch"), "batch", "left")
+        settled = F.col("done") | F.coalesce(F.abs(F.col("last") - F.col("m_loss")) < tolerance * F.greatest(F.lit(1.0), F.col("m_loss")), F.lit(False))
+        pick = lambda c: F.when(settled, F.col(c)).otherwise(F.col(f"n_{c}")).alias(c)
+        s = s.select("batch", *map(pick, ("scale", "rotation", "translation")), F.when(settled, F.col("last")).otherwise(F.col("m_loss")).alias("last"), settled.alias("done"))
+        state = tables.write(s, "fits")
+    last = near.join(beside(state), "batch").select("batch", norm(_off()).alias("r"))
+    stats = last.groupBy("batch").agg(F.avg("r").alias("mean_residual"), F.max("r").alias("max_residual"))
+    stats = stats.join(exact_median(last, "r", ("batch",)).select("batch", F.col("median").alias("median_residual")), "batch", "left")
+    # Back from offsets to the coordinates given: t = scale R (s - os) + shift + ot.
+    at = lambda side: F.array(*(F.col(f"o_{side}{c}") for c in "xyz"))
+    out = state.join(means, "batch").join(stats, "batch")
+    turned = F.zip_with(rotate(F.col("rotation"), at("s")), at("t"), lambda a, b: b - F.col("scale") * a)
+    shift = F.zip_with("translation", turned, lambda a, b: a + b)
+    return out.select("batch", "scale", "rotation", shift.alias("translation"), "n", "mean_weight", "mean_residual", "median_residual", "max_residual")
 
 
 def gate(d: DataFrame, checks: list[tuple[str, str, float]]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mapweave.functions.vectors import angle_deg, base_name, compose, direction_angle_deg, minus, norm, rotate, stem, trace, transpose
-from mapweave.operators.points import median
+from mapweave.operators.medians import exact_median
 
 
 def match(true: DataFrame, pred: DataFrame, by: str = "auto") -> DataFrame:
@@ -94,8 +94,10 @@ def relative_errors(matched: DataFrame, delta: int = 1) -> DataFrame:
 
 
 def summary(d: DataFrame, value: str) -> DataFrame:
-    c = F.col(value)
-    return d.agg(F.count(c).alias("n"), F.round(F.sqrt(F.avg(c * c)), 6).alias("rmse"), F.round(F.avg(c), 6).alias("mean"), F.round(median(c), 6).alias("median"), F.round(F.max(c), 6).alias("max"))
+    """Count, root mean square, mean, median and maximum of a column, in one row."""
+    c, r6 = F.col(value), lambda x, name: F.round(x, 6).alias(name)
+    one = d.agg(F.count(c).alias("n"), r6(F.sqrt(F.avg(c * c)), "rmse"), r6(F.avg(c), "mean"), r6(F.max(c), "max"))
+    return one.join(F.broadcast(exact_median(d, value).select(r6(F.col("median"), "median")))).select("n", "rmse", "mean", "median", "max")  # one row beside one
 
 
 def accuracy(d: DataFrame, value: str, limits: list[float]) -> DataFrame:

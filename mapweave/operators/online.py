@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from mapweave.functions.transforms import near_identity, turn_deg
 from mapweave.functions.vectors import angle_deg, compose, finite, minus, norm, rotate, trace, transpose
-from mapweave.operators.points import median
+from mapweave.operators.medians import exact_median
 from mapweave.operators.reporting import cumulative
 from mapweave.sources.tables import Tables
 
@@ -104,9 +104,13 @@ def accept(success: Column, before: Column, after: Column) -> Column:
 
 def value_stats(d: DataFrame, *values: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Mean, median and maximum of the finite values of each column, 0 without any."""
-    f = lambda c, agg: F.round(F.coalesce(agg(F.when(finite(F.col(c)), F.col(c))), F.lit(0.0)), 6)
-    aggs = [f(c, agg).alias(f"{c}_{name}") for c in values for name, agg in (("mean", F.avg), ("median", median), ("max", F.max))]
-    return d.groupBy(*by).agg(*aggs)
+    f = lambda x: F.round(F.coalesce(x, F.lit(0.0)), 6)
+    aggs = [f(agg(F.when(finite(F.col(c)), F.col(c)))).alias(f"{c}_{name}") for c in values for name, agg in (("mean", F.avg), ("max", F.max))]
+    out = d.groupBy(*by).agg(*aggs)
+    for c in values:
+        m = exact_median(d, c, by).withColumnRenamed("median", f"{c}_median").drop("n")
+        out = (out.join(m, list(by), "left") if by else out.join(F.broadcast(m))).withColumn(f"{c}_median", f(F.col(f"{c}_median")))
+    return out.select(*by, *(f"{c}_{name}" for c in values for name in ("mean", "median", "max")))
 
 
 def export_poses(requested: DataFrame, state: DataFrame) -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from mapweave.functions.transforms import relative, rotation_log
 from mapweave.functions.vectors import compose, dot, finite, minus, norm, rotate, transpose
+from mapweave.operators.medians import exact_median
 from mapweave.operators.online import steps
-from mapweave.operators.points import median
 from mapweave.sources.tables import Tables
 
 
@@ -56,7 +56,9 @@ def edge_residuals(nodes: DataFrame, edges: DataFrame, scale: DataFrame) -> Data
 def residual_stats(residuals: DataFrame) -> DataFrame:
     """Mean, median and maximum of the sizes of all residual components, by edge type and over all (type "all")."""
     d = residuals.select("edge_type", F.explode("residual").alias("r")).select(F.explode(F.array("edge_type", F.lit("all"))).alias("edge_type"), F.abs("r").alias("r"))
-    return d.groupBy("edge_type").agg(F.count("*").alias("n"), F.round(F.avg("r"), 5).alias("mean"), F.round(median(F.col("r")), 5).alias("median"), F.round(F.max("r"), 5).alias("max"))
+    r5 = lambda c, name: F.round(c, 5).alias(name)
+    sums = d.groupBy("edge_type").agg(F.count("*").alias("n"), r5(F.avg("r"), "mean"), r5(F.max("r"), "max"))
+    return sums.join(exact_median(d, "r", ("edge_type",)).select("edge_type", r5(F.col("median"), "median")), "edge_type")
 
 
 def debug_tables(edges: DataFrame, order: DataFrame, loop_gap: int = 50) -> DataFrame:
@@ -84,8 +86,8 @@ def edge_stats(edges: DataFrame) -> DataFrame:
 
 def translation_scale(t: DataFrame, digits: int | None = 6) -> DataFrame:
     """Median length above 1e-8 of finite translations (length), at least 1e-3; 1 without any."""
-    d = t.where(finite(F.col("length")) & (F.col("length") > 1e-8)).agg(median(F.col("length")).alias("m"))
-    scale = F.coalesce(F.greatest("m", F.lit(1e-3)), F.lit(1.0))
+    d = exact_median(t.where(finite(F.col("length")) & (F.col("length") > 1e-8)), "length")
+    scale = F.coalesce(F.greatest("median", F.lit(1e-3)), F.lit(1.0))
     return d.select((scale if digits is None else F.round(scale, digits)).alias("scale"))
 
 

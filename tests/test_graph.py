@@ -80,3 +80,54 @@ def test_which_references_a_retry_drops(spark):
     alike = spark.createDataFrame([(1, i, s) for i, s in enumerate((0.0, -0.9, -0.95, 0.5))], "batch long, ref long, similarity double")
     got = validation.similarity_plan(alike, max_drop=1).where("dropped").collect()
     assert [(r.ref, r["mode"]) for r in got] == [(2, "threshold")]  # the farthest candidate, not the first
+
+
+def chain(spark, tmp_path, refine, batches=((0, 1), (1, 1), (2, 1), (3, 1)), loops=(1,), **kw):
+    """Frames a to d, one a batch, with an edge between neighbours; ``refine`` gives the x of a run's nodes from its number and
+    start, or an exception."""
+    from mapweave.operators.pose_runs import chained_runs
+
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    frames = spark.createDataFrame([(i, i, i, [float(i), 0.0, 0.0], EYE) for i, _ in batches], f"node long, order_index long, batch_id long, {POSE.split(', ', 1)[1]}")
+    edges = [(i - 1, i, "loop" if i in loops else "intra_batch", i) for i, _ in batches if i]
+    starts = []
+
+    def run(nodes, edges):
+        x = {r.node: r.centre[0] for r in nodes.collect()}
+        starts.append((x, edges.count()))
+        new, cost = refine(len(starts), x)
+        rows = [(i, [new[i], 0.0, 0.0], EYE) for i in x]
+        return spark.createDataFrame(rows, POSE), {"success": True, "initial_cost": 2.0, "final_cost": cost}
+
+    d = spark.createDataFrame(list(batches), "batch_id long, batch_size long")
+    events, map_ = chained_runs(frames, d, spark.createDataFrame(edges, "source long, target long, edge_type string, batch_id long"), run, **kw)
+    return [(r.phase, r.event, r.reason) for r in events.collect()], {r.node: (r.opt_centre[0], r.centre[0]) for r in map_.collect()}, starts
+
+
+def test_triggers_schedule_and_skip(spark, tmp_path):
+    events, poses, starts = chain(spark, tmp_path, lambda n, x: (x | {1: 1.5}, 1.0), interval=2, mode="online")
+    assert events == [("online", "pose_graph_online_scheduled", None), ("online", "pose_graph_online_skipped", "no_new_loop_edges"), ("online", "pose_graph_merged", None)]
+    assert starts == [({0: 0.0, 1: 1.0}, 1)] and poses == {0: (0, 0), 1: (1.5, 1), 2: (2, 2), 3: (3, 3)}
+
+
+def test_runs_are_chained_and_merged_at_the_end(spark, tmp_path):
+    events, poses, starts = chain(spark, tmp_path, lambda n, x: (x | {1: 1.25} if n == 1 else x | {3: 3.5}, 1.0), loops=(1, 3), interval=2)
+    assert starts[1] == ({0: 0.0, 1: 1.25, 2: 2.0, 3: 3.0}, 3)  # the second starts where the first ended
+    assert [e[1] for e in events] == ["pose_graph_online_scheduled"] * 2 + ["pose_graph_merged"] * 3 and events[-1][0] == "final"
+    assert starts[2][0] == {0: 0.0, 1: 1.25, 2: 2.0, 3: 3.5} and poses == {0: (0, 0), 1: (1.25, 1), 2: (2, 2), 3: (3.5, 3)}
+
+
+def test_runs_that_do_not_count(spark, tmp_path):
+    def refine(n, x):
+        if n == 1:
+            raise RuntimeError("no solution")
+        return x | {1: 9.0}, 3.0 if n == 2 else 1.0
+
+    events, poses, starts = chain(spark, tmp_path, refine, batches=[(i, 1) for i in range(6)], loops=(1, 3, 5), interval=2, mode="online")
+    assert events[3:] == [("online", "pose_graph_failed", "no solution"), ("online", "pose_graph_discarded", "cost_increased"), ("online", "pose_graph_merged", None)]
+    assert [s[0][1] for s in starts] == [1.0, 1.0, 1.0] and poses[1] == (9.0, 1.0)
+    gone = spark.createDataFrame([(0, 0)], "node long, order_index long")
+    assert chain(spark, tmp_path, lambda n, x: (x, 1.0), interval=2, mode="online", current=gone)[0][-1][2] == "frame_order_mismatch"
+    moved = spark.createDataFrame([(0, 0), (2, 2), (3, 3)], "node long, order_index long")
+    assert chain(spark, tmp_path, lambda n, x: (x, 1.0), interval=2, mode="online", current=moved)[0][-1][2] == "snapshot_frame_id_mismatch"
+    assert chain(spark, tmp_path, lambda n, x: (x, 1.0), interval=9, min_edges=9)[0] == [("final", "pose_graph_final_skipped", "not_enough_edges")]
