@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from mapweave.functions.vectors import dot, norm, safe_unit, unit
 from mapweave.operators import alignment, evaluate, points, posegraph, reporting, retrieval
 from mapweave.sources import fixtures as fx
+from mapweave.streaming import batching
 
 R6 = lambda c: F.round(F.col(c), 6).alias(c)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,7 +95,7 @@ def a1(spark, sf):
 @query("st2_dynamic_batches")
 def st2(spark, sf):
     f = fx.frames(spark, sf)
-    return retrieval.dynamic_batches(f.where("order_index >= 30"), retrieval.causal_knn(f, 24), k=20, dominant=20, ratio_min=0.1, similarity_min=0.25)
+    return batching.batches_of(f.where("order_index >= 30"), retrieval.causal_knn(f, 24), k=20, dominant=20, ratio_min=0.1, similarity_min=0.25)
 
 
 @query("st1_bootstrap", "SELECT vec_id AS order_index, label FROM embeddings WHERE vec_id < 30")
