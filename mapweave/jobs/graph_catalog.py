@@ -392,3 +392,29 @@ def st10(spark, sf):
     FROM (SELECT * FROM on_ UNION ALL SELECT * FROM mg UNION ALL SELECT * FROM fi)""")
 def st11(spark, sf):
     return runs(spark, sf)[0].select("phase", "check_index", "event", "reason", "frame_count", "num_snapshot_frames", "num_edges", "new_loop_edges", "optimized_frame_count", "updated_frame_count")
+
+
+@query("st3_st8_batch_decisions", """WITH b AS (SELECT DISTINCT vec_id // 8 AS batch FROM embeddings WHERE vec_id % 8 >= 5)
+    SELECT batch, CASE batch % 5 WHEN 0 THEN 'skipped_existing' WHEN 1 THEN 'skipped_not_enough_neighbors' WHEN 2 THEN 'skipped_alignment_failed' WHEN 3 THEN 'added'
+        ELSE CASE WHEN batch % 2 = 0 THEN 'skipped_failed_validation' ELSE 'added' END END AS status,
+    CASE WHEN batch % 5 = 3 THEN 'geometry' WHEN batch % 5 = 4 AND batch % 2 = 1 THEN 'none' END AS stage FROM b""")
+def st3(spark, sf):
+    """Batches of eight frames, five of them references with points from their vectors under a known similarity. By batch number:
+    known already, too few references, no points, one reference out of place (a retry drops it), all out of place, or good."""
+    from mapweave.operators.batch_flow import decide
+
+    d = fx.read(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 8).alias("batch"), (F.col("vec_id") % 8).alias("ref"), F.col("embedding").cast("array<double>").alias("e"))
+    kind, x = F.col("batch") % 5, lambda i: F.get("e", F.lit(i))
+    refs = d.where((F.col("ref") < 5) & ((kind != 1) | (F.col("ref") < 2)))
+    lost = F.when((kind == 4) & (F.col("batch") % 2 == 0), 400.0).otherwise(0.0)
+    off = F.array(lost * x(43) + F.when((kind == 3) & (F.col("ref") == 0), 30.0).otherwise(0.0), lost * x(44), lost * x(45))
+    taken = lambda p: F.zip_with(T.transform_point(lit([1.25 * v for v in TURN]), lit(SHIFT), p), off, lambda a, b: a + b)
+    at = F.array(x(40), x(41), x(42))
+    poses = refs.select("batch", "ref", at.alias("p_centre"), lit([1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]).alias("p_rot"), taken(at).alias("centre"), lit(TURN).alias("rot"))
+    own = F.array(*(F.array(*(10 * x(3 * m + i) for i in range(3))) for m in range(12)))
+    points_ = refs.where(kind != 2).select("batch", "ref", F.explode(F.transform(own, lambda p: F.struct(p.alias("s"), taken(p).alias("t")))).alias("p"))
+    points_ = points_.select("batch", "ref", *(F.get(f"p.{s}", F.lit(i)).alias(f"{s}{c}") for s in "st" for i, c in enumerate("xyz")), F.lit(1.0).alias("w"))
+    requested = d.where("ref >= 5").select("batch", F.concat_ws("-", "batch", "ref").alias("frame_id"))
+    known = requested.where(kind == 0).select("frame_id")
+    alike = refs.select("batch", "ref", x(50).alias("similarity"))
+    return decide(requested, known, points_, poses, alike, rounds=5)[0].select("batch", "status", "stage")

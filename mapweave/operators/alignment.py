@@ -56,8 +56,8 @@ def _solve_rows(batches):
             u, _, vt = np.linalg.svd(cov)
             rot = u @ np.diag([1, 1, np.sign(np.linalg.det(u @ vt)) or 1]) @ vt
             scale = float(np.sqrt(max(r["m_tt"] / w - mt @ mt, 0.0) / max(r["m_ss"] / w - ms @ ms, 1e-24)))
-            out.append((r["batch"], scale, rot.ravel(), mt - scale * rot @ ms))
-        yield pd.DataFrame(out, columns=["batch", "scale", "rotation", "translation"])
+            out.append((r["batch"], scale, rot.ravel(), mt - scale * rot @ ms, r["m_loss"]))
+        yield pd.DataFrame(out, columns=["batch", "scale", "rotation", "translation", "loss"])
 
 
 def robust_fit(d: DataFrame, rounds: int = 20, delta: float = 0.1, tolerance: float = 1e-9, few: int = 100_000) -> DataFrame:
@@ -73,8 +73,8 @@ def robust_fit(d: DataFrame, rounds: int = 20, delta: float = 0.1, tolerance: fl
     small = means.count() <= few
     beside = lambda t: F.broadcast(t) if small else t  # noqa: E731  (a row a batch, counted)
     near = d.join(beside(means.select("batch", *(f"o_{c}" for c in axes))), "batch").select("batch", w0.alias("w"), *((F.col(c) - F.col(f"o_{c}")).alias(c) for c in axes))
-    fit_schema = "batch {0}, scale double, rotation array<double>, translation array<double>".format(d.schema["batch"].dataType.simpleString())
-    fits = moments(near).mapInPandas(_solve_rows, fit_schema)
+    fit_schema = "batch {0}, scale double, rotation array<double>, translation array<double>, loss double".format(d.schema["batch"].dataType.simpleString())
+    fits = moments(near, F.lit(0.0).alias("m_loss")).mapInPandas(_solve_rows, fit_schema).drop("loss")
     state = tables.write(fits.select("*", F.lit(None).cast("double").alias("last"), F.lit(False).alias("done")), "fits")
 
     def _off() -> Column:
@@ -88,13 +88,11 @@ def robust_fit(d: DataFrame, rounds: int = 20, delta: float = 0.1, tolerance: fl
         at = near.join(beside(open_.select("batch", "scale", "rotation", "translation")), "batch").select("batch", "w", *axes, norm(_off()).alias("r"))
         loss = F.when(F.col("r") <= delta, F.col("r") * F.col("r") / 2).otherwise(delta * (F.col("r") - delta / 2))
         weighted = at.withColumn("loss", F.col("w") * loss).withColumn("w", F.col("w") * F.when(F.col("r") <= delta, 1.0).otherwise(delta / F.greatest("r", F.lit(1e-12))) + 1e-300)
-        sums = moments(weighted, F.sum("loss").alias("m_loss"))
-        sums = tables.write(sums, "sums")
-        new = sums.mapInPandas(_solve_rows, fit_schema).select("batch", *(F.col(c).alias(f"n_{c}") for c in ("scale", "rotation", "translation")))
-        s = state.join(new.join(sums.select("batch", "m_loss"), "batch"), "batch", "left")
-        settled = F.col("done") | F.coalesce(F.abs(F.col("last") - F.col("m_loss")) < tolerance * F.greatest(F.lit(1.0), F.col("m_loss")), F.lit(False))
+        new = moments(weighted, F.sum("loss").alias("m_loss")).mapInPandas(_solve_rows, fit_schema)
+        s = state.join(new.select("batch", *(F.col(c).alias(f"n_{c}") for c in ("scale", "rotation", "translation", "loss"))), "batch", "left")
+        settled = F.col("done") | F.coalesce(F.abs(F.col("last") - F.col("n_loss")) < tolerance * F.greatest(F.lit(1.0), F.col("n_loss")), F.lit(False))
         pick = lambda c: F.when(settled, F.col(c)).otherwise(F.col(f"n_{c}")).alias(c)
-        s = s.select("batch", *map(pick, ("scale", "rotation", "translation")), F.when(settled, F.col("last")).otherwise(F.col("m_loss")).alias("last"), settled.alias("done"))
+        s = s.select("batch", *map(pick, ("scale", "rotation", "translation")), F.when(settled, F.col("last")).otherwise(F.col("n_loss")).alias("last"), settled.alias("done"))
         state = tables.write(s, "fits")
     last = near.join(beside(state), "batch").select("batch", norm(_off()).alias("r"))
     stats = last.groupBy("batch").agg(F.avg("r").alias("mean_residual"), F.max("r").alias("max_residual"))
