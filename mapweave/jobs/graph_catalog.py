@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from mapweave.functions import transforms as T
 from mapweave.functions.vectors import angle_deg, compose, dot, minus, norm, rotate, safe_unit, trace, transpose
-from mapweave.jobs.catalog import EDGES, KNN, LOGS, MEMBERS, POINTS, R6, members, query
+from mapweave.jobs.catalog import EDGES, KNN, LOGS, MEMBERS, POINTS, POSES, R6, members, query
 from mapweave.operators import evaluate, online, points, posegraph, retrieval, validation
 from mapweave.sources import fixtures as fx
 
@@ -418,3 +418,22 @@ def st3(spark, sf):
     known = requested.where(kind == 0).select("frame_id")
     alike = refs.select("batch", "ref", x(50).alias("similarity"))
     return decide(requested, known, points_, poses, alike, rounds=5)[0].select("batch", "status", "stage")
+
+
+@query("t8_plot_edges", f"""WITH {EDGES}, o AS (SELECT *, row_number() OVER (ORDER BY source, target) - 1 AS place, count(*) OVER () AS n FROM e WHERE edge_type <> 'loop')
+    SELECT source, target, edge_type FROM o WHERE place % greatest(1, (n + 199) // 200) = 0 UNION ALL SELECT source, target, edge_type FROM e WHERE edge_type = 'loop'""")
+def t8(spark, sf):
+    return posegraph.plot_edges(fx.edges(spark, sf), 200).select("source", "target", "edge_type")
+
+
+@query("j6_t10_sampled_errors", f"""WITH {POSES}, c AS (SELECT count(*) AS n FROM embeddings),
+    h AS (SELECT i, CAST('0x' || substr(md5('7:' || i), 1, 15) AS BIGINT) % (n * (n - 1) // 2) AS k FROM c, range(4 * 1000 + 64) r(i)), d AS (SELECT k, min(i) AS i FROM h GROUP BY k ORDER BY i LIMIT 1000),
+    s AS (SELECT r AS src_pos, r * (2 * n - r - 1) // 2 AS start, n FROM c, range((SELECT n FROM c)) x(r)), p AS (SELECT src_pos, src_pos + 1 + k - start AS dst_pos FROM d JOIN s ON k >= start AND k < start + n - 1 - src_pos)
+    SELECT src_pos AS src_index, dst_pos AS dst_index, CASE WHEN a.valid AND b.valid THEN NULL ELSE 'no_valid_prediction' END AS reason,
+        CASE WHEN a.valid AND b.valid THEN round(sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2 + (b.z - a.z) ** 2), 6) END AS gt_baseline,
+        CASE WHEN a.valid AND b.valid THEN round(sqrt((b.px - a.px) ** 2 + (b.py - a.py) ** 2 + (b.pz - a.pz) ** 2), 6) END AS pred_baseline
+    FROM p JOIN t a ON a.i = src_pos JOIN t b ON b.i = dst_pos""")
+def j6_sampled(spark, sf):
+    pairs = evaluate.sampled_pairs(spark, fx.read(spark, sf, "embeddings").count(), 1000, 7)
+    d = evaluate.relative_errors(evaluate.match(*fx.poses(spark, sf)), pairs=pairs)
+    return d.select("src_index", "dst_index", "reason", R6("gt_baseline"), R6("pred_baseline"))

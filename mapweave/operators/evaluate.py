@@ -69,11 +69,15 @@ def absolute_errors(matched: DataFrame, fit: DataFrame | None = None) -> DataFra
     return d.select("gt_index", "image_name", norm(F.col("off")).alias("translation_error"), angle_deg(trace(F.col("turn"))).alias("rotation_error_deg"))
 
 
-def relative_errors(matched: DataFrame, delta: int = 1) -> DataFrame:
-    """Errors of motions over ``delta`` indices; ``reason`` is set where a side has no valid prediction."""
+def relative_errors(matched: DataFrame, delta: int = 1, pairs: DataFrame | None = None) -> DataFrame:
+    """Errors of motions over ``delta`` indices, or of the given ``pairs`` of indices (src_pos, dst_pos); ``reason`` is set where
+    a side has no valid prediction."""
     cols = ("gt_index", "image_name", "centre", "rot", "p_centre", "p_rot", "valid")
     a, b = (matched.select(*(F.col(c).alias(f"{s}_{c}") for c in cols)) for s in ("a", "b"))
-    d = a.join(b, F.col("b_gt_index") == F.col("a_gt_index") + delta)
+    if pairs is None:
+        d = a.join(b, F.col("b_gt_index") == F.col("a_gt_index") + delta)
+    else:
+        d = pairs.join(a, F.col("src_pos") == F.col("a_gt_index")).join(b, F.col("dst_pos") == F.col("b_gt_index"))
     ok = F.coalesce(F.col("a_valid") & F.col("b_valid"), F.lit(False))
     # Step by step: an array expression that is named several times in another would be computed as often.
     back = lambda p: transpose(F.col(f"a_{p}rot")).alias(f"{p}back")

@@ -69,6 +69,17 @@ def debug_tables(edges: DataFrame, order: DataFrame, loop_gap: int = 50) -> Data
     return d.select("source", "target", "edge_type", "weight", "frame_distance", loop.alias("is_loop"))
 
 
+def plot_edges(edges: DataFrame, most: int = 1500, block: int = 4096) -> DataFrame:
+    """All loops, and of the other edges, in order of source and target, every n-th, so that at most ``most`` are left. Places
+    are counted in blocks of sources and added up over the blocks."""
+    other = edges.where("edge_type <> 'loop'").withColumn("_b", F.floor(F.col("source") / block))
+    sizes = other.groupBy("_b").agg(F.count("*").alias("_c"))
+    before = F.sum("_c").over(W.orderBy("_b")) - F.col("_c")  # one row a block
+    sizes = sizes.select("_b", before.alias("_before"), F.sum("_c").over(W.partitionBy(F.lit(0))).alias("_n"))
+    other = other.join(sizes, "_b").withColumn("_at", F.col("_before") + F.row_number().over(W.partitionBy("_b").orderBy("source", "target")) - 1)
+    return other.where(F.col("_at") % F.ceil(F.col("_n") / most) == 0).select(*edges.columns).unionByName(edges.where("edge_type = 'loop'"))
+
+
 def usable_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges between two different known nodes, and with finite relative poses where they have rel_rot and rel_centre."""
     for c in {"rel_rot", "rel_centre"} & set(edges.columns):
