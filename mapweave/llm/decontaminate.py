@@ -7,7 +7,8 @@ windows is joined by probe with keys alone, and its matches are verified where t
 
 Defined results: null or wordless texts have no windows and no hits; items without words match nothing; an item without
 an id contaminates but is not listed; rows repeated or sharing an id are told apart by a hash of the text; extra columns
-are ignored by ``scan`` and kept by ``remove``; empty tables give empty or clean results.
+are ignored by ``scan`` and kept by ``remove``; texts of any length are scanned whole; empty tables give empty or clean
+results.
 """
 
 from __future__ import annotations

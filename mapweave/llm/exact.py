@@ -5,7 +5,8 @@ text beside its MD5: copies collapse before the shuffle, and two texts with one
 their group by MD5 and SHA-256, without moving their texts again.
 
 Defined results: null counts as empty; the row with the most code points in the original stays, then the smallest id, a
-null id last; repeated rows count each and share the flag of their id; extra columns are ignored by ``exact_groups``.
+null id last; repeated rows count each and share the flag of their id; extra columns are ignored by ``exact_groups``;
+texts of any length are compared whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations

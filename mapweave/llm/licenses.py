@@ -5,7 +5,8 @@ of characters. A match inside the interval of a match of the same or a better le
 earlier rule wins). Only matches are shuffled, never texts.
 
 Defined results: null counts as empty; a text without a match has empty labels and score 0; rows that share an id are
-told apart by a hash of the text; overlaps that are not containments keep both matches; extra columns are ignored.
+told apart by a hash of the text; overlaps that are not containments keep both matches; extra columns are ignored; whole
+texts are searched, whatever their length; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -17,7 +17,8 @@ too little about them.
 4. The distance to that neighbour is verified.
 
 Defined results: null and empty texts have no lines and stay; blank lines stay; rows repeated with id and text keep the
-same lines; a null id counts as earliest; extra columns are kept by ``remove``.
+same lines; a null id counts as earliest; extra columns are kept by ``remove``; lines and texts of any length are compared
+whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations

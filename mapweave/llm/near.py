@@ -20,7 +20,8 @@ Only pairs that pass, and are not joined already, are compared on full sets. Ind
 meet, so the pairs stay few where a bucket's pairs would grow with the square of a group. No link within a bucket is lost.
 
 Defined results: texts without words have no shingles and link to nothing; texts shorter than a shingle are one shingle;
-rows without an id are never linked and stay; rows sharing an id are one node with several texts; extra columns are ignored.
+rows without an id are never linked and stay; rows sharing an id are one node with several texts; extra columns are ignored;
+texts of any length are compared as whole sets; an empty table gives an empty result.
 """
 
 from __future__ import annotations

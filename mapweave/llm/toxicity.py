@@ -6,8 +6,8 @@ bounded sample of labelled rows (``rows``), and applied to whole texts in Arrow
 size. Terms of fewer than ``least`` sample texts have neither; of the others all have factors, but only those that differ
 between the classes by themselves have a weight: a group's name, as common in clean as in toxic texts, counts in pairs.
 
-Defined results: null and empty texts have no terms and get the score of the bias; without any labelled row the score is 0;
-repeated rows get equal scores and an empty table an empty result; extra columns are kept, but for one named as ``into``,
+Defined results: null and empty texts have no terms and get the score of the bias; without any labelled row every score is
+0.0001; repeated rows get equal scores and an empty table an empty result; extra columns are kept, but for one named as ``into``,
 which is replaced by the score.
 """
 
