@@ -1,13 +1,22 @@
-"""Point clouds as binary PLY: each partition encodes its vertices, and the parts concatenate after one header."""
+"""Point clouds as binary PLY: as one file from the driver, or by the data source "ply" as a folder of files, one a task.
+
+``points.write.format("ply").mode("append").save(folder)``, after ``register(spark)``, writes x, y, z and, where they are there,
+red, green, blue. Each task writes a file of its own under a hidden name; they get their names when all have succeeded, and
+are deleted when the job fails, so a failed write leaves no file. The folder must be one that all machines share. Overwriting
+replaces the PLY files that the folder had."""
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from mapweave.functions.vectors import finite
 
@@ -51,3 +60,96 @@ def write(points: DataFrame, path: str) -> int:
 def write_distributed(points: DataFrame, folder: str) -> None:
     """The encoded parts and their vertex counts as Parquet, for clouds that no single machine should write."""
     parts(points).write.mode("overwrite").parquet(folder)
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    name: str
+    vertices: int
+
+
+class PlyWriter(DataSourceArrowWriter):
+    """Writes the files of one job."""
+
+    def __init__(self, folder: str, overwrite: bool):
+        self.folder, self.overwrite, self.job = folder, overwrite, uuid.uuid4().hex
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        os.makedirs(self.folder, exist_ok=True)
+        name, n = f"{self.job}-{uuid.uuid4().hex}.ply", 0
+        path = os.path.join(self.folder, f".{name}")
+        room = len(header(2**62)) + len("comment \n")
+        try:
+            with open(path, "wb") as f:
+                f.write(b" " * room)
+                for batch in iterator:
+                    columns = {c: batch.column(i).to_numpy(zero_copy_only=False) for i, c in enumerate(batch.schema.names)}
+                    out = np.zeros(batch.num_rows, VERTEX)
+                    ok = np.ones(batch.num_rows, bool)
+                    for c in VERTEX.names:
+                        values = np.nan_to_num(columns[c].astype(float)) if c in columns and c not in "xyz" else columns.get(c)
+                        if values is not None:
+                            ok &= np.isfinite(values.astype(float)) if c in "xyz" else True
+                            with np.errstate(invalid="ignore"):
+                                out[c] = values
+                    f.write(out[ok].tobytes())
+                    n += int(ok.sum())
+                f.seek(0)
+                f.write(self._padded(n, room))
+        except BaseException:
+            os.remove(path)
+            raise
+        return Written(name, n)
+
+    @staticmethod
+    def _padded(n: int, room: int) -> bytes:
+        """The header for n vertices at a fixed length: a comment fills it up."""
+        plain = header(n)
+        fill = b"comment " + b"-" * (room - len(plain) - len(b"comment \n")) + b"\n"
+        return plain.replace(b"element vertex", fill + b"element vertex")
+
+    def _files(self, prefix: str) -> list[str]:
+        return [x for x in os.listdir(self.folder) if x.startswith(prefix) and x.endswith(".ply")] if os.path.isdir(self.folder) else []
+
+    def commit(self, messages: list[Written | None]) -> None:
+        if self.overwrite:
+            for x in self._files(""):
+                if not x.startswith("."):
+                    os.remove(os.path.join(self.folder, x))
+        kept = {m.name for m in messages if m is not None and m.vertices}
+        for x in self._files(f".{self.job}"):  # a task that ran twice has left a second file
+            old = os.path.join(self.folder, x)
+            os.rename(old, os.path.join(self.folder, x[1:])) if x[1:] in kept else os.remove(old)
+
+    def abort(self, messages: list[Written | None]) -> None:
+        for x in self._files(f".{self.job}"):
+            os.remove(os.path.join(self.folder, x))
+
+
+class Ply(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "ply"
+
+    def writer(self, schema, overwrite: bool) -> PlyWriter:
+        if not {"x", "y", "z"} <= set(schema.names):
+            raise ValueError("a cloud needs x, y and z")
+        return PlyWriter(self.options["path"], overwrite)
+
+
+def register(spark: SparkSession) -> None:
+    spark.dataSource.register(Ply)
+
+
+def read_folder(folder: str) -> np.ndarray:
+    """The vertices of all files of a folder that the data source has written (for small clouds)."""
+    out = [np.zeros(0, VERTEX)]
+    for x in sorted(os.listdir(folder)):
+        if x.endswith(".ply") and not x.startswith("."):
+            with open(os.path.join(folder, x), "rb") as f:
+                head, body = f.read().split(b"end_header\n", 1)
+            n = int(head.split(b"element vertex ")[1].split(b"\n")[0])
+            out.append(np.frombuffer(body, VERTEX, n))
+            if len(body) != n * VERTEX.itemsize:
+                raise ValueError(f"{x} holds other than {n} vertices")
+    return np.concatenate(out)

@@ -70,6 +70,24 @@ def test_voxels(spark, tmp_path):
     assert b"element vertex 4" in data and sorted(body["x"].round(2)) == [np.float32(v) for v in (0.01, 0.02, 1, 2)] and set(body["blue"]) == {2}
 
 
+def test_ply_data_source(spark, tmp_path):
+    ply.register(spark)
+    d = spark.createDataFrame([(0, i, 0, 0, v, v, v, 1.0) for i, v in enumerate((0.01, 0.02, 1.0, 2.0))], POINT).repartition(3)
+    cloud = d.withColumns({c: (F.col("pt") * 3 + i).cast("int") for i, c in enumerate(("red", "green", "blue"))})
+    raw, dedup = str(tmp_path / "raw"), str(tmp_path / "dedup")
+    cloud.unionByName(cloud.limit(1).withColumn("x", F.lit(float("nan")))).write.format("ply").mode("append").save(raw)
+    points.voxel_first(cloud, 0.5).write.format("ply").mode("append").save(dedup)
+    assert len(ply.read_folder(raw)) == 4 and sorted(ply.read_folder(dedup)["blue"]) == [2, 8, 11]
+    with pytest.raises(Exception, match="boom"):
+        bad = cloud.withColumn("x", F.when(F.col("pt") == 3, F.raise_error(F.lit("boom")).cast("double")).otherwise(F.col("x")))
+        bad.write.format("ply").mode("overwrite").save(raw)
+    import os
+
+    assert len(ply.read_folder(raw)) == 4 and not [x for x in os.listdir(raw) if x.startswith(".")]
+    cloud.where("pt < 2").write.format("ply").mode("overwrite").save(raw)
+    assert sorted(ply.read_folder(raw)["x"].round(2)) == [np.float32(0.01), np.float32(0.02)]
+
+
 def test_robust_scores(spark):
     d = spark.createDataFrame([(1, 5.0), (1, 5.0), (1, 5.0), (2, 1.0), (2, 2.0), (2, 9.0), (3, 4.0), (4, math.nan), (4, 1.0), (4, 1.0)], "g int, v double")
     got = {(r.g, str(r.v)): r.outlier for r in points.positive_outlier(d, "g", "v").collect()}
