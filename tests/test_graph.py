@@ -131,3 +131,14 @@ def test_runs_that_do_not_count(spark, tmp_path):
     moved = spark.createDataFrame([(0, 0), (2, 2), (3, 3)], "node long, order_index long")
     assert chain(spark, tmp_path, lambda n, x: (x, 1.0), interval=2, mode="online", current=moved)[0][-1][2] == "snapshot_frame_id_mismatch"
     assert chain(spark, tmp_path, lambda n, x: (x, 1.0), interval=9, min_edges=9)[0] == [("final", "pose_graph_final_skipped", "not_enough_edges")]
+
+
+def test_when_results_count(spark):
+    rows = [(1, True, 2.0, 1.0), (2, True, 1.0, 2.0), (3, False, 2.0, 1.0), (4, None, 2.0, 1.0), (5, True, math.nan, 1.0), (6, True, 1.0, math.inf), (7, True, 1.0, 1.0 + 1e-12)]
+    d = spark.createDataFrame(rows, "i int, success boolean, before double, after double")
+    got = {r.i: r.why for r in d.select("i", online.accept(F.col("success"), F.col("before"), F.col("after")).alias("why")).collect()}
+    assert got == {1: None, 2: "cost_increased", 3: "optimizer_unsuccessful", 4: "optimizer_unsuccessful", 5: "non_finite_cost", 6: "non_finite_cost", 7: None}
+    from mapweave.operators.pose_runs import discarded
+
+    summaries = {i: discarded({"success": bool(s), "initial_cost": b, "final_cost": a}) for i, s, b, a in rows}
+    assert summaries == got

@@ -156,6 +156,14 @@ def test_pose_files(spark, tmp_path):
     assert [r.valid for r in poses.array_poses(spark, str(tmp_path / "p.npz")).orderBy("pred_index").collect()] == [True, False, False]
 
 
+def test_image_listing(spark, tmp_path):
+    for name in ("b.png", "a.JPG", "c.txt", "d.jpeg"):
+        (tmp_path / name).write_bytes(b"x")
+    got = [(r.order_index, r.path.rsplit("/", 1)[1]) for r in poses.image_paths(spark, str(tmp_path)).orderBy("order_index").collect()]
+    assert got == [(0, "a.JPG"), (1, "b.png"), (2, "d.jpeg")]
+    assert [r.path.rsplit("/", 1)[1] for r in poses.image_paths(spark, str(tmp_path), 2).orderBy("order_index").collect()] == ["a.JPG", "b.png"]
+
+
 def test_streaming_loop(spark, tmp_path):
     spark.sparkContext.setCheckpointDir(str(tmp_path / "rdd"))
     d = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").where("vec_id < 60")
