@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left, insort
+from collections import deque
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StructField, StructType
 
 from mapweave.functions.transforms import near_identity, turn_deg
 from mapweave.functions.vectors import angle_deg, compose, finite, minus, norm, rotate, trace, transpose
@@ -27,28 +34,54 @@ def steps(frames: DataFrame, block: int = 4096) -> DataFrame:
     return d.select(*cols, *(F.col(f"prev.{c}").alias(f"prev_{c}") for c in cols))
 
 
-def accepted_steps(d: DataFrame, multiplier: float = 4.0, trail: int = 200, rounds: int = 1000) -> DataFrame:
+def _gate(multiplier: float, trail: int):
+    """``accepted_steps`` of one chunk of a stream, from the steps accepted last before it, with those after it in _seen of its
+    last row."""
+
+    def of(d: pa.Table, before: pa.Table) -> pa.Table:
+        d = d.sort_by("order_index")
+        seen = deque(before.column("_seen").to_pylist()[0] if before.num_rows else [], trail)
+        known = sorted(x for x in seen if x is not None)
+        accepted = []
+        for able, x in zip(d.column("able").to_pylist(), d.column("step").to_pylist(), strict=True):
+            x = math.inf if x is not None and math.isnan(x) else x  # as Spark orders it
+            usual = (known[(len(known) - 1) // 2] * 0.5 + known[len(known) // 2] * 0.5) if known else None
+            ok = bool(able) and (usual is None or (x is not None and x <= max(1e-6, usual * multiplier)))
+            accepted.append(ok)
+            if ok:
+                if len(seen) == trail and (old := seen[0]) is not None:
+                    del known[bisect_left(known, old)]
+                seen.append(x)
+                if x is not None:
+                    insort(known, x)
+        ends = pa.array([None] * (d.num_rows - 1) + [list(seen)], pa.list_(pa.float64()))
+        return d.append_column("accepted", pa.array(accepted, pa.bool_())).append_column("_seen", ends)
+
+    return of
+
+
+def accepted_steps(d: DataFrame, multiplier: float = 4.0, trail: int = 200, chunk: int = 65_536, block: int = 4096) -> DataFrame:
     """``d`` (stream, order_index, able, step) with accepted: able, and at most ``multiplier`` times the median of the last
     ``trail`` accepted steps of the stream before it (any step while there is none).
 
-    The gate feeds on itself. It is solved by rounds over all streams at once: from a guess, medians of the rows accepted
-    in it, then the gate again, until nothing changes. A round is right at least up to the first row that was wrong, so
-    the only fixed point is the sequential result; every round is a written table."""
+    The gate feeds on itself, so a stream's frames follow one another: all streams take one chunk of about ``chunk`` frames at
+    a time, each from the ``trail`` steps that its chunk before left, and no task holds a stream. Each chunk is a written table."""
     tables = Tables(d.sparkSession)
-    d = tables.write(d.withColumn("accepted", F.coalesce("able", F.lit(False))), "gate")
-    w = W.partitionBy("stream").orderBy("order_index")
-    for _ in range(rounds):
-        a = d.where("accepted").select("stream", F.row_number().over(w).alias("k"), F.percentile("step", F.lit(0.5)).over(w.rowsBetween(-(trail - 1), 0)).alias("usual"))
-        k = F.coalesce(F.sum(F.col("accepted").cast("int")).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        new = d.withColumn("k", k).join(a, ["stream", "k"], "left")
-        ok = F.col("able") & (F.col("usual").isNull() | (F.col("step") <= F.greatest(F.lit(1e-6), F.col("usual") * multiplier)))
-        new = new.withColumn("was", F.col("accepted")).withColumn("accepted", F.coalesce(ok, F.lit(False))).drop("k", "usual")
-        new = tables.write(new, "gate")
-        d = new.drop("was")
-        if new.where("was <> accepted").isEmpty():
-            tables.keep_only("gate")
-            return d
-    raise RuntimeError("the continuity gate did not settle")
+    d = d.withColumn("_b", F.floor(F.col("order_index") / block))
+    sizes = d.groupBy("stream", "_b").agg(F.count("*").alias("_n"))
+    w = W.partitionBy("stream").orderBy("_b")  # one row a block
+    sizes = sizes.select("stream", "_b", F.floor((F.sum("_n").over(w) - F.col("_n")) / chunk).alias("_chunk"))
+    d = tables.write(d.join(sizes, ["stream", "_b"]).drop("_b"), "steps")
+    last = d.agg(F.max("_chunk")).first()[0]
+    schema = StructType([*d.schema.fields, StructField("accepted", BooleanType()), StructField("_seen", ArrayType(DoubleType()))])
+    done = [d.withColumn("accepted", F.lit(False)).limit(0)]
+    state = d.sparkSession.createDataFrame([], StructType([d.schema["stream"], schema["_seen"]]))
+    for i in range((-1 if last is None else last) + 1):
+        part = d.where(F.col("_chunk") == i).groupBy("stream").cogroup(state.groupBy("stream")).applyInArrow(_gate(multiplier, trail), schema)
+        part = tables.write(part, f"gate-{i}")
+        state = part.where("_seen is not null").select("stream", "_seen")
+        done.append(part.drop("_seen"))
+    return reduce(DataFrame.unionByName, done).drop("_chunk")
 
 
 def continuity_gate(pairs: DataFrame, similarity: float = 0.65, overlap: int = 2, max_deg: float = 45.0, multiplier: float = 4.0) -> DataFrame:
@@ -89,12 +122,17 @@ def merge(state: DataFrame, initial: DataFrame, refined: DataFrame) -> DataFrame
     one by more than rounding, else the pose it had. Map poses are untouched. delta_t and delta_deg are null for nodes
     that were not optimised."""
     i, r = (d.select("node", F.col("centre").alias(f"{s}_centre"), F.col("rot").alias(f"{s}_rot")) for d, s in ((initial, "i"), (refined, "r")))
-    d = state.join(i.join(r, "node"), "node", "left").withColumn("turn", compose(F.col("r_rot"), transpose(F.col("i_rot"))))
+    return replaced(state.join(i.join(r, "node"), "node", "left"), state.columns)
+
+
+def replaced(d: DataFrame, columns: list[str]) -> DataFrame:
+    """``merge`` of a state of these columns that stands beside the initial (i_centre, i_rot) and the refined (r_) poses."""
+    d = d.withColumn("turn", compose(F.col("r_rot"), transpose(F.col("i_rot"))))
     d = d.withColumn("move", minus(F.col("r_centre"), rotate(F.col("turn"), F.col("i_centre")))).withColumn("delta_deg", turn_deg(F.col("turn")))
     d = d.withColumn("delta_t", norm(F.col("move"))).withColumn("updated", F.col("r_rot").isNotNull() & ~near_identity(F.col("delta_deg"), F.col("move")))
-    had = lambda c: F.col(f"opt_{c}") if f"opt_{c}" in state.columns else F.col(c)
+    had = lambda c: F.col(f"opt_{c}") if f"opt_{c}" in columns else F.col(c)
     opt = [F.when(F.col("updated"), F.col(f"r_{c}")).otherwise(had(c)).alias(f"opt_{c}") for c in ("centre", "rot")]
-    return d.select(*(c for c in state.columns if c not in ("opt_centre", "opt_rot")), *opt, "updated", "delta_t", "delta_deg")
+    return d.select(*(c for c in columns if c not in ("opt_centre", "opt_rot")), *opt, "updated", "delta_t", "delta_deg")
 
 
 def accept(success: Column, before: Column, after: Column) -> Column:

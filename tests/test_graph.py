@@ -117,6 +117,16 @@ def test_runs_are_chained_and_merged_at_the_end(spark, tmp_path):
     assert starts[2][0] == {0: 0.0, 1: 1.25, 2: 2.0, 3: 3.5} and poses == {0: (0, 0), 1: (1.25, 1), 2: (2, 2), 3: (3.5, 3)}
 
 
+def test_a_run_writes_one_table(spark, tmp_path, monkeypatch):
+    from mapweave.sources.tables import Tables
+
+    names, write = [], Tables.write
+    monkeypatch.setattr(Tables, "write", lambda self, d, name: names.append(name) or write(self, d, name))
+    events, *_ = chain(spark, tmp_path, lambda n, x: (x | {1: 1.25}, 1.0), loops=(1, 3), interval=2)
+    runs = sum(e[1] == "pose_graph_merged" for e in events)
+    assert runs == 3 and len(names) <= runs + 4, names  # the usable and the last edges, the frames, the map
+
+
 def test_runs_that_do_not_count(spark, tmp_path):
     def refine(n, x):
         if n == 1:
