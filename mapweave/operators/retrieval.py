@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -19,36 +19,75 @@ def _best(found: DataFrame, k: int) -> DataFrame:
 def causal_knn(frames: DataFrame, k: int = 5, block: int = 1024, digits: int = 6) -> DataFrame:
     """For each frame the ``k`` most similar earlier ones by cosine: query_id, ref_id, score, rank. Ties: smaller ref.
 
-    Frames are cut into blocks of consecutive order; a task multiplies one block of queries with one of references and
-    keeps the best ``k`` of each query, so at most k rows a query and block reach the shuffle, and no side is broadcast.
+    Frames are cut into at most ``TILES`` spans of consecutive order, of at least ``block`` and at most ``WIDE`` frames (of
+    longer tables there are more spans); a task compares one span of queries with one of references, in small matrices, and
+    keeps the best ``k`` of each query. So a frame reaches the shuffle a bounded number of times, with at most k rows a query
+    and span, and no side is broadcast. The comparisons grow with the square of the frames, as every pair is asked for.
     Frames without a descriptor, or with one that is not finite, are neither found nor asked for; descriptors of different
     lengths are not compared."""
     return earlier_knn(frames, frames, k, block, digits)
 
 
-def earlier_knn(asked: DataFrame, known: DataFrame, k: int = 5, block: int = 1024, digits: int = 6) -> DataFrame:
-    """``causal_knn`` of the frames ``asked`` among ``known``; of those, a block goes only to the blocks asked for."""
+TILES, WIDE = 16, 65_536
+
+
+def _nearest(queries: np.ndarray, x: np.ndarray, refs: np.ndarray, y: np.ndarray, k: int, digits: int, rows: int = 1024, cols: int = 4096) -> pd.DataFrame:
+    """The best ``k`` earlier references of each query. Both are in order, so a later reference must beat the k-th best so far;
+    most do not, and only those that may are rounded and sorted."""
+    out = []
+    for i in range(0, len(queries), rows):
+        q, a = queries[i : i + rows], x[i : i + rows]
+        low = np.full(len(q), -np.inf)
+        at, score, ref = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        for j in range(0, len(refs), cols):
+            r = refs[j : j + cols]
+            if r[0] >= q[-1]:
+                break
+            s = a @ y[j : j + cols].T
+            if r[-1] >= q[0]:
+                s[r[None, :] >= q[:, None]] = -np.inf
+            least, some = low.copy(), np.isneginf(low)
+            if some.any() and len(r) > k:  # what rounds to a tie with the k-th stays in
+                least[some] = np.maximum(-np.inf, np.partition(s[some], -k, axis=1)[:, -k] - 10.0**-digits)
+            n, c = np.nonzero(s > least[:, None])
+            at, score, ref = np.concatenate([at, n]), np.concatenate([score, np.round(s[n, c], digits)]), np.concatenate([ref, r[c]])
+            order = np.lexsort((ref, -score, at))
+            at, score, ref = at[order], score[order], ref[order]
+            place = np.arange(len(at)) - np.searchsorted(at, at)
+            at, score, ref, place = at[place < k], score[place < k], ref[place < k], place[place < k]
+            last = place == k - 1
+            low[at[last]] = score[last]
+        out.append(pd.DataFrame({"query_id": q[at], "ref_id": ref, "score": score}))
+    return pd.concat(out)
+
 
-    def blocks(frames: DataFrame) -> DataFrame:
+def earlier_knn(asked: DataFrame, known: DataFrame, k: int = 5, block: int = 1024, digits: int = 6) -> DataFrame:
+    """``causal_knn`` of the frames ``asked`` among ``known``; of those, a span goes only to the spans asked for."""
+    ids = known.where("order_index is not null").select(F.col("order_index").cast("long").alias("id"))
+    tiles = max(1, min(-(-ids.count() // block), max(TILES, -(-ids.count() // WIDE))))
+    cuts = ids.approxQuantile("id", [i / tiles for i in range(1, tiles)], 0.01 / tiles) if tiles > 1 else []
+    cuts = sorted({int(c) for c in cuts})
+    tiles = len(cuts) + 1
+    ends = asked.agg(F.min("order_index").alias("low"), F.max("order_index").alias("top")).first()
+    if ends.low is None:
+        ends = Row(low=0, top=0)
+    low, top = (int(np.searchsorted(cuts, e, "right")) for e in (ends.low, ends.top))
+
+    def spans(frames: DataFrame) -> DataFrame:
         ok = F.col("order_index").isNotNull() & F.coalesce(F.forall("descriptor", lambda x: finite(x)), F.lit(False))
-        d = frames.where(ok).select(F.col("order_index").alias("id"), unit(F.col("descriptor").cast("array<double>")).alias("v"))
-        return d.withColumn("own", F.floor(F.col("id") / block)).withColumn("n", F.size("v"))
+        d = frames.where(ok).select(F.col("order_index").cast("long").alias("id"), unit(F.col("descriptor").cast("array<double>")).alias("v"))
+        own = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("id"))) if cuts else F.lit(0)
+        return d.withColumn("own", own).withColumn("n", F.size("v"))
 
-    queries, v = blocks(asked), blocks(known)
-    ends = queries.groupBy().agg(F.min("own").alias("low"), F.max("own").alias("top"))  # one row
-    queries = queries.select(F.col("own").alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), "own")).alias("r"), "n", "id", "v")
-    refs = v.join(F.broadcast(ends)).where("own <= top").select(F.explode(F.sequence(F.greatest("own", "low"), "top")).alias("q2"), F.col("own").alias("r2"), F.col("n").alias("n2"), F.col("id").alias("id2"), F.col("v").alias("v2"))
+    parts = min(1000, 3 * tiles * (tiles + 1) // 2) if tiles > 1 else 1
+    queries = spans(asked).select(F.col("own").alias("q"), F.explode(F.sequence(F.lit(0), "own")).alias("r"), "n", "id", "v").repartition(parts, "q", "r", "n")
+    refs = spans(known).where(F.col("own") <= top).select(F.explode(F.sequence(F.greatest("own", F.lit(low)), F.lit(top))).alias("q2"), F.col("own").alias("r2"), F.col("n").alias("n2"), "id", "v").repartition(parts, "q2", "r2", "n2")
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"query_id": [], "ref_id": [], "score": []})
-        a, b = a.sort_values("id"), b.rename(columns={"id2": "id", "v2": "v"}).sort_values("id")
-        s = np.round(np.stack(a.v.to_list()) @ np.stack(b.v.to_list()).T, digits)
-        s[b.id.to_numpy()[None, :] >= a.id.to_numpy()[:, None]] = -np.inf
-        top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        score = np.take_along_axis(s, top, 1)
-        out = pd.DataFrame({"query_id": np.repeat(a.id.to_numpy(), top.shape[1]), "ref_id": b.id.to_numpy()[top].ravel(), "score": score.ravel()})
-        return out[np.isfinite(out.score)]
+        a, b = a.sort_values("id"), b.sort_values("id")
+        return _nearest(a.id.to_numpy(), np.stack(a.v.to_list()), b.id.to_numpy(), np.stack(b.v.to_list()), k, digits)
 
     found = queries.groupBy("q", "r", "n").cogroup(refs.groupBy("q2", "r2", "n2")).applyInPandas(best, "query_id long, ref_id long, score double")
     return _best(found, k)

@@ -24,6 +24,19 @@ def test_nearest_of_two(spark):
         assert got == [(1, 0, 1), (2, 0, 1), (2, 1, 2), (3, 0, 1), (3, 1, 2)]
 
 
+def test_nearest_of_frames_far_apart_in_small_matrices(spark):
+    r = np.random.default_rng(0)
+    v = np.round(r.normal(size=(60, 3)), 1)  # with ties
+    ids = np.arange(60) * 10**13
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    want = {(int(ids[q]), int(ids[f])) for q in range(60) for f in sorted(range(q), key=lambda f: (-np.round(unit[q] @ unit[f], 6), f))[:4]}
+    for rows, cols in ((7, 9), (1024, 4096)):
+        got = retrieval._nearest(ids, unit, ids, unit, 4, 6, rows, cols)
+        assert set(zip(got.query_id.tolist(), got.ref_id.tolist(), strict=True)) == want
+    d = spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(ids, v, strict=True)], "order_index long, descriptor array<double>")
+    assert {(x.query_id, x.ref_id) for x in retrieval.causal_knn(d, 4, block=20).collect()} == want  # as many spans as frames ask for, not as ids
+
+
 def test_nearest_without_usable_descriptors(spark):
     rows = [(0, [1.0, 0.0]), (1, None), (2, [math.nan, 1.0]), (3, [1.0, None]), (4, [1.0, 0.0, 0.0]), (5, [0.0, 2.0]), (None, [1.0, 0.0]), (6, [])]
     d = spark.createDataFrame(rows, "order_index long, descriptor array<double>")
