@@ -82,6 +82,17 @@ def test_which_references_a_retry_drops(spark):
     assert [(r.ref, r["mode"]) for r in got] == [(2, "threshold")]  # the farthest candidate, not the first
 
 
+def test_continuity_gate_over_chunks(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    r, seen, want = np.random.default_rng(0), [], []
+    steps = [(0, i, bool(r.random() < 0.9), float(x)) for i, x in enumerate(r.lognormal(size=40))]
+    for _, _, able, x in steps:
+        want.append(able and (not seen or x <= 1.2 * float(np.median(seen[-7:]))))
+        seen += [x] * want[-1]
+    got = online.accepted_steps(spark.createDataFrame(steps, "stream long, order_index long, able boolean, step double"), 1.2, trail=7, chunk=16, block=4)
+    assert [x.accepted for x in got.orderBy("order_index").collect()] == want and got.columns == ["stream", "order_index", "able", "step", "accepted"]
+
+
 def chain(spark, tmp_path, refine, batches=((0, 1), (1, 1), (2, 1), (3, 1)), loops=(1,), **kw):
     """Frames a to d, one a batch, with an edge between neighbours; ``refine`` gives the x of a run's nodes from its number and
     start, or an exception."""
