@@ -64,3 +64,18 @@ def test_robust_fit_is_that_of_each_batch_alone(spark, tmp_path):
         f = got[b]
         assert abs(f.scale - scale) < 1e-9 and np.allclose(np.reshape(f.rotation, (3, 3)), rot, atol=1e-9) and np.allclose(f.translation, shift, atol=1e-7)
         assert np.allclose([f.n, f.mean_weight, f.mean_residual, f.median_residual, f.max_residual], stats, atol=1e-7)
+
+
+def test_robust_fit_shuffles_rows_once(spark, tmp_path, monkeypatch):
+    from mapweave.operators import alignment
+
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    r = np.random.default_rng(0)
+    rows = [(b, *map(float, p), *map(float, 2 * p + 1 + 0.3 * r.normal(size=3) * (i % 4 == 0)), 1.0) for b in range(5) for i, p in enumerate(r.normal(size=(20 + b, 3)))]
+    d = spark.createDataFrame(rows, "batch long, sx double, sy double, sz double, tx double, ty double, tz double, w double")
+    large = sorted(alignment.robust_fit(d, together=1).collect())
+    monkeypatch.setattr(alignment, "_solve_rows", None)  # no rounds over the cluster for small batches
+    got = sorted(alignment.robust_fit(d).collect())
+    assert len(got) == len(large) == 5
+    for x, y in zip(got, large, strict=True):
+        assert x.batch == y.batch and x.n == y.n and np.allclose(np.hstack([x[1], *x[2:4], *x[5:]]), np.hstack([y[1], *y[2:4], *y[5:]]), atol=1e-8)
