@@ -138,6 +138,18 @@ def test_a_run_writes_one_table(spark, tmp_path, monkeypatch):
     assert runs == 3 and len(names) <= runs + 4, names  # the usable and the last edges, the frames, the map
 
 
+def test_stand_in_optimiser_changes_every_frame(spark, tmp_path, monkeypatch):
+    from mapweave.jobs import graph_catalog
+    from mapweave.operators import pose_runs
+    from mapweave.sources import fixtures
+
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    monkeypatch.setattr(pose_runs, "chained_runs", lambda frames, batches, edges, optimise, **kw: optimise)
+    there = fixtures.poses(spark, "/root/testdata/sf0.001")[0].where("gt_index < 20").select(F.col("gt_index").alias("node"), "centre", "rot")
+    refined, _ = graph_catalog.runs(spark, "/root/testdata/sf0.001")(there, None)
+    assert online.merge(there, there, refined).where("updated").count() == 20  # also frames that have arrived
+
+
 def test_runs_that_do_not_count(spark, tmp_path):
     def refine(n, x):
         if n == 1:
