@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, discard, fingerprint, written
@@ -141,6 +141,22 @@ def _compared(pairs: DataFrame, sets: DataFrame, heavy: DataFrame) -> DataFrame:
     return d.select("a", "b", "both", (F.col("sum") - F.col("both")).alias("either"))
 
 
+def _order(d: DataFrame) -> DataFrame:
+    """(row, order, rare) of the members ``d`` (row, b, members, foreign, d) of groups of more than ``COMMON``: their differences d,
+    of which so many are foreign to the leader b, in the order of the prefix filter, the first ``rare`` of them not common.
+
+    Elements that many members share come last, the most common at the end: members made from one template have those in
+    common, and at places so late that little of their difference is left to share. Each element is counted beside its
+    equals, where its row already is, so there are as many rows as elements of differences; no element meets a table of
+    common ones, and a task gets elements of a group, not the group. Smaller groups have no common element."""
+    each = d.where(F.col("members") > COMMON).select("row", "b", "foreign", F.posexplode("d").alias("i", "element"))
+    df = F.count("*").over(Window.partitionBy("b", "element"))
+    each = each.select("row", (F.col("i") >= F.col("foreign")).alias("missing"), "element", df.alias("df"))
+    place = F.struct(F.when(F.col("df") > COMMON, F.col("df")).otherwise(0).alias("df"), "missing", "element")
+    each = each.groupBy("row").agg(F.sort_array(F.collect_list(place)).alias("order"), F.count_if(F.col("df") <= COMMON).alias("rare"))
+    return each.select("row", F.col("order.element").alias("order"), "rare")
+
+
 def _ring(star: DataFrame, sets: DataFrame, joined: DataFrame, heavy: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs (a, b) of members of one leader's group with an open member, by the prefix filter on differences.
 
@@ -149,29 +165,21 @@ def _ring(star: DataFrame, sets: DataFrame, joined: DataFrame, heavy: DataFrame,
     most e(z) - i are shared, so reach(z) = up e(z) + down |z| - 2 up i is at least need(y) = up e(y) - down |y|, and
     likewise for y. Over all sizes y may have, that bounds the places of z worth a look: the prefix."""
     up, down = 100 + percent, 100 - percent
-    some = star.groupBy("b").agg(F.count("*").alias("n"), F.count_if("open").alias("o")).where("n > 1 and o > 0").select("b")
+    some = star.groupBy("b").agg(F.count("*").alias("members"), F.count_if("open").alias("o")).where("members > 1 and o > 0").select("b", "members")
     label = joined.select(F.col("node").alias("a"), "component")
-    d = star.join(some, "b", "left_semi").join(label, "a", "left").select("a", "b", "open", F.coalesce("component", "a").alias("component"))
+    d = star.join(some, "b").join(label, "a", "left").select("a", "b", "open", "members", F.coalesce("component", "a").alias("component"))
     left, right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"), *ODD), sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     d = _beside(d.join(left, "a"), right, heavy)
     foreign, missing = F.array_sort(F.array_except("x", "y")), F.array_sort(F.array_except("y", "x"))
-    d = d.select("a", "b", "open", "component", F.size("x").cast("long").alias("n"), F.size("y").cast("long").alias("nl"), F.concat(foreign, missing).alias("d"), *ODD)
-    d = written(d.withColumn("e", F.size("d").cast("long")), "differences")
-
-    # Elements that many members share come last, the most common at the end: members made from one template have those
-    # in common, and at places so late that little of their difference is left to share.
-    common = d.select("b", F.explode("d").alias("element")).groupBy("b", "element").agg(F.count("*").alias("df")).where(F.col("df") > COMMON)
-    common = written(common, "common")
-    late = d.select("a", "b", F.explode("d").alias("element")).join(broadcast_if_small(common), ["b", "element"])
-    late = late.groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("df", "element"))).alias("late"))
-    d = d.join(late, ["a", "b"], "left").withColumn("late", F.coalesce(F.col("late.element"), F.array().cast("array<long>")))
-    d = d.withColumn("early", F.array_except("d", "late"))
+    d = d.select("a", "b", "open", "members", "component", F.size("x").cast("long").alias("n"), F.size("y").cast("long").alias("nl"), F.size(foreign).alias("foreign"), F.concat(foreign, missing).alias("d"), *ODD)
+    d = written(d.withColumn("e", F.size("d").cast("long")).withColumn("row", F.monotonically_increasing_id()), "differences")
+    d = d.join(_order(d), "row", "left").withColumn("order", F.coalesce("order", "d")).withColumn("from", F.coalesce("rare", "e"))
 
     most = F.expr(f"{down} * n div {percent}")  # elements in which a link's two sets may differ
     as_z = F.when(F.col("open"), F.least(F.col("e"), most + 1)).otherwise(0)
     as_y = F.greatest(F.lit(0), F.least(F.col("e"), most + 1, F.expr(f"(e * {up} + {down} * (n - nl) + {2 * up - 1}) div {2 * up}")))
-    d = d.withColumn("pz", as_z.cast("int")).withColumn("py", as_y.cast("int")).withColumn("from", F.size("early"))
-    prefix = F.slice(F.concat("early", "late"), 1, F.greatest("pz", "py"))
+    d = d.withColumn("pz", as_z.cast("int")).withColumn("py", as_y.cast("int"))
+    prefix = F.slice("order", 1, F.greatest("pz", "py"))
     d = d.select("a", "b", "open", "component", "n", "nl", "e", "pz", "py", "from", *ODD, F.posexplode(prefix).alias("i", "element"))
     reach, need = F.expr(f"{up} * e + {down} * n - {2 * up} * i"), F.expr(f"{up} * e - {down} * n")
     least = F.expr(f"{up} * (e - ({down} * n div {percent})) - {down} * (n * 100 div {percent}) - {up + down}")  # of any y's need
@@ -189,9 +197,7 @@ def _ring(star: DataFrame, sets: DataFrame, joined: DataFrame, heavy: DataFrame,
     apart = sum((F.bit_count(F.col(f"z_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in ODD), F.lit(0))
     close = up * apart <= down * (F.col("z_n") + F.col("y_n"))
     met = z.join(y, (z["element"] == y["element"]) & (z["l"] == y["l"]) & (z["step"] == y["step"]) & once & sizes & fits & close)
-    found = written(met.select(F.col("z_a").alias("a"), F.col("y_a").alias("b")).distinct(), "ring")
-    discard(common)
-    return found
+    return written(met.select(F.col("z_a").alias("a"), F.col("y_a").alias("b")).distinct(), "ring")
 
 
 def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

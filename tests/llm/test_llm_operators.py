@@ -197,6 +197,21 @@ def test_near_with_templates_and_shared_ids(spark):
     assert low[5000] == low[5001] == 7  # an id is one node with all its texts
 
 
+def test_near_counts_common_elements_in_place(spark, monkeypatch):
+    base, plans, write = [f"t{i}" for i in range(60)], [], near.written
+    texts = [" ".join(base[:50] + [f"u{i}x{j}" for j in range(10)]) for i in range(40)]
+    monkeypatch.setattr(near, "written", lambda d, name, keep=False: plans.append(d._jdf.queryExecution().optimizedPlan().toString()) or write(d, name, keep))
+    got = near.near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    joins = [x for p in plans for x in p.splitlines() if re.search(r"Join .*element#", x)]
+    assert len(got) == 40 and joins and all("step#" in x for x in joins)  # an element meets its like in a ring, nowhere else
+
+    members = [(i, 1, 40, 2, [100 + i, 7 if i < 20 else 200 + i, 3, 300 + i]) for i in range(40)] + [(50 + i, 2, 9, 1, [9, 5]) for i in range(9)]
+    d = spark.createDataFrame(members, "row long, b long, members long, foreign int, d array<long>")
+    order = {x.row: (x.order, x.rare) for x in near._order(d).collect()}
+    # Rare ones first, those foreign to the leader before those that only it has; then common ones, the most common last.
+    assert order == {i: ([100 + i, 300 + i, 7, 3], 2) if i < 20 else ([100 + i, 200 + i, 300 + i, 3], 3) for i in range(40)}
+
+
 def test_odd_sketches_bound_the_difference_of_sets():
     r = np.random.default_rng(5)
     base = [f"w{i}" for i in r.integers(0, 50, 300)]
