@@ -1,13 +1,14 @@
 """Point clouds as binary PLY: as one file from the driver, or by the data source "ply" as a folder of files, one a task.
 
 ``points.write.format("ply").mode("append").save(folder)``, after ``register(spark)``, writes x, y, z and, where they are there,
-red, green, blue. Each task writes a file of its own under a hidden name; they get their names when all have succeeded, and
-are deleted when the job fails, so a failed write leaves no file. The folder must be one that all machines share. Overwriting
-replaces the PLY files that the folder had."""
+red, green, blue. Each task writes a file of its own in a hidden folder of the job; they move when all have succeeded, and
+go with that folder when the job fails. A task that outlives its job finds it gone, so a failed write leaves no file. The folder
+must be one that all machines share. Overwriting replaces the PLY files that the folder had."""
 
 from __future__ import annotations
 
 import os
+import shutil
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -73,32 +74,29 @@ class PlyWriter(DataSourceArrowWriter):
 
     def __init__(self, folder: str, overwrite: bool):
         self.folder, self.overwrite, self.job = folder, overwrite, uuid.uuid4().hex
+        self.hidden = os.path.join(folder, f".{self.job}")
+        os.makedirs(self.hidden)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        os.makedirs(self.folder, exist_ok=True)
         name, n = f"{self.job}-{uuid.uuid4().hex}.ply", 0
-        path = os.path.join(self.folder, f".{name}")
+        path = os.path.join(self.hidden, name)
         room = len(header(2**62)) + len("comment \n")
-        try:
-            with open(path, "wb") as f:
-                f.write(b" " * room)
-                for batch in iterator:
-                    columns = {c: batch.column(i).to_numpy(zero_copy_only=False) for i, c in enumerate(batch.schema.names)}
-                    out = np.zeros(batch.num_rows, VERTEX)
-                    ok = np.ones(batch.num_rows, bool)
-                    for c in VERTEX.names:
-                        values = np.nan_to_num(columns[c].astype(float)) if c in columns and c not in "xyz" else columns.get(c)
-                        if values is not None:
-                            ok &= np.isfinite(values.astype(float)) if c in "xyz" else True
-                            with np.errstate(invalid="ignore"):
-                                out[c] = values
-                    f.write(out[ok].tobytes())
-                    n += int(ok.sum())
-                f.seek(0)
-                f.write(self._padded(n, room))
-        except BaseException:
-            os.remove(path)
-            raise
+        with open(path, "wb") as f:
+            f.write(b" " * room)
+            for batch in iterator:
+                columns = {c: batch.column(i).to_numpy(zero_copy_only=False) for i, c in enumerate(batch.schema.names)}
+                out = np.zeros(batch.num_rows, VERTEX)
+                ok = np.ones(batch.num_rows, bool)
+                for c in VERTEX.names:
+                    values = np.nan_to_num(columns[c].astype(float)) if c in columns and c not in "xyz" else columns.get(c)
+                    if values is not None:
+                        ok &= np.isfinite(values.astype(float)) if c in "xyz" else True
+                        with np.errstate(invalid="ignore"):
+                            out[c] = values
+                f.write(out[ok].tobytes())
+                n += int(ok.sum())
+            f.seek(0)
+            f.write(self._padded(n, room))
         return Written(name, n)
 
     @staticmethod
@@ -108,22 +106,22 @@ class PlyWriter(DataSourceArrowWriter):
         fill = b"comment " + b"-" * (room - len(plain) - len(b"comment \n")) + b"\n"
         return plain.replace(b"element vertex", fill + b"element vertex")
 
-    def _files(self, prefix: str) -> list[str]:
-        return [x for x in os.listdir(self.folder) if x.startswith(prefix) and x.endswith(".ply")] if os.path.isdir(self.folder) else []
-
     def commit(self, messages: list[Written | None]) -> None:
         if self.overwrite:
-            for x in self._files(""):
-                if not x.startswith("."):
+            for x in os.listdir(self.folder):
+                if x.endswith(".ply") and not x.startswith("."):
                     os.remove(os.path.join(self.folder, x))
-        kept = {m.name for m in messages if m is not None and m.vertices}
-        for x in self._files(f".{self.job}"):  # a task that ran twice has left a second file
-            old = os.path.join(self.folder, x)
-            os.rename(old, os.path.join(self.folder, x[1:])) if x[1:] in kept else os.remove(old)
+        for m in messages:
+            if m is not None and m.vertices:
+                os.rename(os.path.join(self.hidden, m.name), os.path.join(self.folder, m.name))
+        self.abort(messages)  # a task that ran twice has left a second file
 
     def abort(self, messages: list[Written | None]) -> None:
-        for x in self._files(f".{self.job}"):
-            os.remove(os.path.join(self.folder, x))
+        """Renames the hidden folder before it empties it, so that a task still running puts nothing new there."""
+        if os.path.isdir(self.hidden):
+            gone = f"{self.hidden}-gone"
+            os.rename(self.hidden, gone)
+            shutil.rmtree(gone)
 
 
 class Ply(DataSource):

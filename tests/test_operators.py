@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,6 +102,23 @@ def test_ply_data_source(spark, tmp_path):
     assert sorted(ply.read_folder(raw)["x"].round(2)) == [np.float32(0.01), np.float32(0.02)]
 
 
+def test_a_ply_task_that_outlives_its_job_leaves_no_file(tmp_path):
+    import os
+
+    batch = pa.RecordBatch.from_pydict({c: [1.0, 2.0] for c in "xyz"})
+    w = ply.PlyWriter(str(tmp_path / "cloud"), False)
+
+    def slow():
+        yield batch
+        w.abort([])  # the job fails while this task runs
+        yield batch
+
+    w.write(slow())
+    with pytest.raises(FileNotFoundError):
+        w.write(iter([batch]))  # one that starts later
+    assert os.listdir(tmp_path / "cloud") == []
+
+
 def test_robust_scores(spark):
     d = spark.createDataFrame([(1, 5.0), (1, 5.0), (1, 5.0), (2, 1.0), (2, 2.0), (2, 9.0), (3, 4.0), (4, math.nan), (4, 1.0), (4, 1.0)], "g int, v double")
     got = {(r.g, str(r.v)): r.outlier for r in points.positive_outlier(d, "g", "v").collect()}
