@@ -164,6 +164,17 @@ def test_per_frame_runs_cost_no_job_each(spark, tmp_path, monkeypatch):
     assert got[1][3][0] == got[1][3][2] and got[1][0][0] == (0.0, 2.0**-7, 0.0)
 
 
+def test_events_of_per_frame_runs(spark, tmp_path):
+    events = per_frame(spark, tmp_path, False)[0]
+    assert [e[2] for e in events] == ["pose_graph_online_scheduled"] * 6 + ["pose_graph_merged"] * 7
+    assert [e[8:10] for e in events[6:]] == [(2, 2), (3, 3), (5, 5), (7, 7), (9, 9), (11, 11), (11, 11)]
+    counted = per_frame(spark, tmp_path, False, few=5)[0]
+    assert all(a[:12] == b[:12] and np.allclose(a[12:], b[12:], atol=2e-6) for a, b in zip(events[6:], counted[6:], strict=True))
+    current = spark.createDataFrame([(i, i) for i in range(12) if i != 4], "node long, order_index long")
+    together, each = (per_frame(spark, tmp_path, one, mode="online", current=current) for one in (False, True))
+    assert together == each and [e[3] for e in each[0][6:]] == [None, None] + ["snapshot_frame_id_mismatch"] * 3 + ["frame_order_mismatch"]
+
+
 def test_stand_in_optimiser_changes_every_frame(spark, tmp_path, monkeypatch):
     from mapweave.jobs import graph_catalog
     from mapweave.operators import pose_runs
